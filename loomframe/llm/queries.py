@@ -5,19 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from loomframe.llm import decontaminate, licences, quality, tokencount
+from loomframe.llm import decontaminate, langid, licences, mixing, neardup, pii, ppm, quality, secretscan, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(_table(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.group(_table(spark, sf_dir, "documents"), shingle=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_texts(_table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digest(secretscan.scan(_table(spark, sf_dir, "documents")))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return decontaminate.digest(leaks)
@@ -28,15 +48,28 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.STATS, "base_failed", "kept")
 
 
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_licence_scan": op3_licence_scan,
-    "op7_decontamination": op7_decontamination,
-    "op8_quality_rules": op8_quality_rules,
-    "op10_token_counts": op10_token_counts,
+    f.__name__: f
+    for f in (
+        op1_mixing,
+        op2_language_id,
+        op3_licence_scan,
+        op4_near_duplicates,
+        op5_lm_scores,
+        op6_secret_scan,
+        op7_decontamination,
+        op8_quality_rules,
+        op9_pseudonyms,
+        op10_token_counts,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
