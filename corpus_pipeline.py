@@ -1,8 +1,59 @@
-"""A corpus pipeline of this repository's training-data operators."""
+"""A corpus pipeline of this repository's training-data operators.
 
-STAGES: list = []
+documents -> quality rules -> near-duplicate removal -> benchmark decontamination -> secret
+redaction -> mix. Each stage works on all rows that its predecessor kept. Between stages the rows
+are written as Parquet to the shared scratch folder and read again, so that a lost executor costs
+one stage's work at most. The last stage returns the mix: a row for each slot of its shards.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomframe.llm import decontaminate, mixing, neardup, quality, secretscan
+from loomframe.llm._common import staged
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, without lines that are too frequent on their host."""
+    return quality.apply_rules(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of like five-word shingle sets (similarity 0.8 or more)."""
+    return neardup.drop_duplicates(docs, shingle=5, threshold=0.8)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a mark in place of each secret."""
+    return secretscan.redact(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of all sources to their target weights, as blocks of words in output shards."""
+    return mixing.mixed_blocks(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("mix", mix),
+]
+
+#: The mix's draw is not SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
