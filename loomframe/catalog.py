@@ -533,7 +533,7 @@ query("sql_10_in_subquery_or", "SELECT c_custkey FROM customer WHERE c_acctbal >
 query("sql_11_cte", "WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 300000) SELECT o_custkey, count(*) AS n FROM big GROUP BY 1")(
     lambda t: run_sql("WITH big AS (SELECT o_custkey, o_totalprice FROM ${o} WHERE o_totalprice > 300000) SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey", t.orders)
 )
-query("sql_12_derived", "SELECT o_orderstatus, max(n) AS m FROM (SELECT o_orderstatus, o_custkey, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1")(
+query("sql_12_derived", "SELECT o_orderstatus, max(n)::DOUBLE AS m FROM (SELECT o_orderstatus, o_custkey, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1")(
     lambda t: run_sql("SELECT o_orderstatus, max(n) AS m FROM (SELECT o_orderstatus, o_custkey, count(*) AS n FROM ${o} GROUP BY o_orderstatus, o_custkey) x GROUP BY o_orderstatus", t.orders)
 )
 query("sql_13_case", "SELECT o_orderkey, CASE WHEN o_totalprice > 400000 THEN 'a' ELSE CASE WHEN o_totalprice > 200000 THEN 'b' ELSE 'c' END END AS g FROM orders")(
@@ -568,3 +568,72 @@ query(
        SELECT 0 AS lag, 1.0::DOUBLE AS r UNION ALL SELECT 1, round(avg((value - m) * (a - m)) / max(v), 4) FROM x UNION ALL SELECT 2, round(avg((value - m) * (b - m)) / max(v), 4) FROM x""",
 )(lambda t: t.events.plot.autocorrelation("value", 2))
 query("viz_07_lag_plot", "SELECT value AS x, y FROM (SELECT value, lead(value, 3) OVER (ORDER BY event_id) AS y FROM events) WHERE y IS NOT NULL")(lambda t: t.events.plot.lag_plot("value", 3))
+
+# ---------------------------------------------------------------- sources and sinks, arrays, streams
+
+
+def _round_trip(t: Tables, frame: Frame, suffix: str, **options) -> Frame:
+    """Written to a scratch folder and read back."""
+    from loomframe.sources.dispatch import read, write
+    from loomframe.streaming.windows import scratch
+
+    path = f"{scratch(t.spark, 'io')}.{suffix}"
+    write(frame, path)
+    return read(t.spark, path, **options)
+
+
+query("src_03_csv", "SELECT * FROM customer")(lambda t: _round_trip(t, t.customer, "csv", schema=t.customer.df.schema))
+query("src_05_tsv", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")(lambda t: _round_trip(t, t.supplier, "tsv"))
+query("src_07_json", "SELECT * FROM part")(lambda t: _round_trip(t, t.part, "json", lines=True, schema=t.part.df.schema))
+query("src_07_json_split", "SELECT n_nationkey, n_name, n_regionkey FROM nation")(lambda t: _json_split(t))
+query("src_09_json_normalize", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id < 500")(lambda t: _normalized(t))
+query("src_10_excel", "SELECT n_nationkey, n_name, n_regionkey FROM nation")(lambda t: _round_trip(t, t.nation, "xlsx"))
+query("src_13_html", "SELECT n_nationkey, n_name, n_regionkey FROM nation")(lambda t: _round_trip(t, t.nation, "html"))
+query("src_15_xml", "SELECT r_name, r_regionkey::BIGINT AS r_regionkey FROM region")(lambda t: _round_trip(t, t.region, "xml"))
+query("src_17_parquet", "SELECT * FROM orders WHERE o_totalprice > 200000")(lambda t: _round_trip(t, t.orders, "parquet").query("o_totalprice > 200000"))
+query("src_19_orc", "SELECT * FROM customer")(lambda t: _round_trip(t, t.customer, "orc"))
+query("src_21_container", "SELECT * FROM nation")(lambda t: _round_trip(t, t.nation, "jpk"))
+query("num_05_legacy_percentile", "SELECT n_regionkey, quantile_cont(n_nationkey, 0.5) AS p FROM nation GROUP BY 1")(
+    lambda t: t.nation.df.groupBy("n_regionkey").agg(_arrays().percentile(C("n_nationkey"), 50).alias("p"))
+)
+query("num_03_logic", f"SELECT event_id, CASE WHEN v IS NOT NULL AND e IS NOT NULL THEN v > 50 AND e = 'view' END AS x FROM ({_NULLS})")(
+    lambda t: (lambda f: f.df.select("event_id", _arrays().logical("and", F.nanvl("v", F.lit(None)) > 50, C("e") == "view").alias("x")))(with_nulls(t))
+)
+query("strm_01_tumbling", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(lambda t: _tumbling(t))
+
+
+def _arrays():
+    from loomframe.functions import arrays
+
+    return arrays
+
+
+def _scratch(t: Tables, name: str) -> str:
+    from loomframe.streaming.windows import scratch
+
+    return f"{scratch(t.spark, 'io')}-{name}"
+
+
+def _json_split(t: Tables):
+    from loomframe.sources.jsons import read_json, write_json
+
+    path = _scratch(t, "split.json")
+    write_json(t.nation, path, "split")
+    return read_json(t.spark, path, "split")
+
+
+def _normalized(t: Tables):
+    from loomframe.sources.jsons import json_normalize
+
+    rows = t.events.df.where("event_id < 500").select(F.to_json(F.struct("event_id", F.from_json("props", "k bigint").alias("p"))).alias("v"))
+    return json_normalize(rows, "v", schema="event_id bigint, p struct<k: bigint>").rename_columns({"p.k": "k"})
+
+
+def _tumbling(t: Tables):
+    """A stream over the events file, to its end; complete windows are taken from the last batch."""
+    from loomframe.streaming import windows as S
+
+    stream = S.event_stream(t.spark, t.dir, "events.parquet", t.events.df.schema)
+    made = S.windowed(stream, "ts", "1 day", None, ["event_type"], "1 hour", n=F.count("*"), total=F.sum("value"))
+    out = S.run_to_batches(made, S.scratch(t.spark, "sink"), S.scratch(t.spark, "state"))
+    return out.select(C("start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
