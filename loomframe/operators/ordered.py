@@ -123,8 +123,9 @@ def running(
     past = Window.orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.orderBy(run).rowsBetween(1, Window.unboundedFollowing)
     carry = {n: fresh([*own.columns, *wanted], f"{n}_carried") for n in wanted}
+    joins = {"count": F.sum}  # counts of runs add up; all else combines as it is made
     carried = sums.select(
-        run, *[RUNNING[fn][0](col(n)).over(ahead if fn == "next" else past).alias(carry[n]) for n, (fn, _) in wanted.items()]
+        run, *[joins.get(fn, RUNNING[fn][0])(col(n)).over(ahead if fn == "next" else past).alias(carry[n]) for n, (fn, _) in wanted.items()]
     )
     joined = own.join(carried, run)
     both = {
