@@ -75,6 +75,11 @@ def unused(names: list[str], stem: str) -> str:
     return name
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by exact name, whatever characters it holds."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, so that extra columns cannot clash; a missing one is a null."""
     have = {f.name for f in df.schema.fields}
@@ -92,16 +97,22 @@ def map_bytes(
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in split_batch(batch, text):
-                others = {n: part.column(i) for i, n in enumerate(part.schema.names) if n != text}
+                others = {n: part.column(i) for i, n in enumerate(names) if n != text}
                 out = fn(others, texts)
                 arrays = [x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return plain_names(df, text).mapInArrow(run, schema)
+
+
+def plain_names(df: DataFrame, text: str) -> DataFrame:
+    """Columns but for text by place: mapInArrow takes names with dots for nested fields."""
+    return df.toDF(*[n if n == text else f"__c{i}" for i, n in enumerate(df.columns)])
 
 
 def filter_bytes(df: DataFrame, keep: Callable[[list[bytes | None]], list[bool]], text: str = "text") -> DataFrame:
@@ -112,7 +123,8 @@ def filter_bytes(df: DataFrame, keep: Callable[[list[bytes | None]], list[bool]]
             for part, texts in split_batch(batch, text):
                 yield part.filter(pa.array(keep(texts), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    plain = plain_names(df, text)
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
 def split_batch(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomframe.llm._common import columns_of, map_bytes, staged, unused
+from loomframe.llm._common import columns_of, map_bytes, quoted, staged, unused
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Deleting these from UTF-8 leaves one byte for each code point that stands in a word.
@@ -166,7 +166,7 @@ def apply_rules(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     marked = docs.withColumn(content + "_", F.xxhash64("text"))
     kept = marked.join(
         verdict, marked["doc_id"].eqNullSafe(verdict[same]) & (marked[content + "_"] == verdict[content])
-    ).select(*names, hashes)
+    ).select(*quoted(names), hashes)
     clean = kept.where(F.col(hashes).isNull()).drop(hashes)
     dirty = kept.where(F.col(hashes).isNotNull())
 
