@@ -262,3 +262,36 @@ def test_plot_data(spark):
         f.plot.pie("g", "v")
     r = column(make(spark, v=[1.0, 2.0, 3.0]).plot.autocorrelation("v", 1), "r")
     assert r[0] == pytest.approx(1) and r[1] == pytest.approx(0)
+
+
+def test_index_levels(spark):
+    from loomframe.operators.index import Index
+
+    f = make(spark, a=["x", "y", "x"], b=[1, 2, 1], t=[dt.datetime(2026, 1, d, 9) for d in (1, 2, 3)])
+    ix = Index(f, "a", "b")
+    assert ix.labels() == [("x", 1), ("y", 2), ("x", 1)] and sorted(ix.unique().labels()) == [("x", 1), ("y", 2)]
+    assert ix.swaplevel().levels == ["b", "a"] and ix.droplevel("a").labels() == [1, 2, 1]
+    assert ix.reorder_levels([1, 0]).level(0) == "b" and ix.take(2, 0).labels() == [("x", 1), ("x", 1)]
+    assert ix.slice(1, 2).labels() == [("y", 2)] and Index(f, "t").infer_freq() == "1D"
+    assert Index(f, "t").asof("2026-01-02 12:00:00") == dt.datetime(2026, 1, 2, 9)
+    with pytest.raises(FrameError):
+        ix.droplevel(0, 1)
+
+
+def test_engines_and_sources(spark):
+    from loomframe.functions import arrays
+    from loomframe.plans import engines
+    from loomframe.sources.codegen import columns_source
+
+    f = make(spark, **{"class": [1, 2], "unitPrice": [3, 4]})
+    assert engines.run("SELECT unitPrice FROM this WHERE unitPrice > 3", this=f).row_count() == 1
+    engines.use_custom(engines.SparkSql())
+    assert engines.run("SELECT sum(unitPrice) AS s FROM this", this=f).df.first()[0] == 7
+    engines.reset()
+    assert engines.capabilities()["CTE"] and "UNIT_PRICE = 'unitPrice'" in columns_source(f)
+    m = arrays.Matrix([[2, 0], [0, 4]])
+    assert m.solve([2, 4]) == [1, 1] and m.determinant() == pytest.approx(8) and m.inverse().mul(m).to_array() == [[1, 0], [0, 1]]
+    with pytest.raises(FrameError):
+        arrays.Matrix([[1, 1], [1, 1]]).inverse()
+    got = f.df.agg(arrays.percentile(f.df.unitPrice, 50).alias("p"), arrays.statistic(f.df.unitPrice, "sum").alias("s")).first()
+    assert tuple(got) == (3.5, 7.0)
