@@ -1,0 +1,91 @@
+"""The pipeline's stages, each against a brute-force version over its own input."""
+
+import os
+import re
+from collections import defaultdict
+
+import pytest
+
+import corpus_pipeline
+from loomframe.llm import decontaminate, mixing, neardup, quality, queries
+
+DATA = os.environ.get("LOOMFRAME_TEST_DATA", "/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """The rows before the first stage and after each."""
+    folder = tmp_path_factory.mktemp("stages")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    out = [docs.collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, DATA)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert made.columns == docs.columns
+        made.write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        out.append(docs.collect())
+    return out
+
+
+def test_stage_names():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "secrets", "mix"]
+
+
+def test_quality(stages):
+    want = {r["doc_id"] for r in stages[0] if (s := quality.text_stats((r["text"] or "").encode()))[0] >= 50 and 100 * s[4] <= 50 * s[0]}
+    got = {r["doc_id"] for r in stages[1]}
+    assert got <= want and len(want - got) <= 0.02 * len(want)
+
+
+def test_one_of_each_group(stages):
+    sets = {r["doc_id"]: neardup.shingle_set(r["text"].encode(), 5) for r in stages[1]}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if neardup.reaches(sets[i], sets[j], 80):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    assert sorted(r["doc_id"] for r in stages[2]) == sorted({root(i) for i in ids})
+
+
+def test_no_benchmark_passage_is_left(spark, stages):
+    items = [(r["item_id"], r["text"].encode()) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    windows = decontaminate.windows_of(items, 10)
+
+    def dirty(text):
+        w = decontaminate.words_of(text.encode())
+        return any(tuple(w[i : i + n]) in known for n, known in windows.items() for i in range(len(w) - n + 1))
+
+    assert {r["doc_id"] for r in stages[3]} == {r["doc_id"] for r in stages[2] if not dirty(r["text"])}
+
+
+def test_no_secret_is_left(stages):
+    before, after = {r["doc_id"]: r["text"] for r in stages[3]}, {r["doc_id"]: r["text"] for r in stages[4]}
+    assert before.keys() == after.keys()
+    assert not any(re.search(r"[0-9a-f]{32}", t) for t in after.values())
+    assert all(a == before[i] for i, a in after.items() if "[REDACTED]" not in a)
+
+
+def test_mix_near_targets(stages):
+    size, took = defaultdict(int), defaultdict(int)
+    for r in stages[4]:
+        size[r["source"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
+    for b in stages[5]:
+        took[b["source"]] += b["n_tokens"]
+        assert b["n_tokens"] == len(b["text"].split(" "))
+    goal = mixing.targets(size, mixing.cycled_weights(list(size), (5, 2, 1)), 3)
+    assert all(abs(took[s] - goal[s]) <= 1.5 * 256 for s in size)
+
+
+def test_run_and_registration(spark, stages):
+    assert corpus_pipeline.run(spark, DATA).count() == len(stages[5])
+    assert sorted(queries.QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1])) == list(queries.QUERIES)
