@@ -270,19 +270,19 @@ def mixed_blocks(docs: DataFrame, block_tokens: int = 256, **options) -> DataFra
         & F.col("p.source").eqNullSafe(F.col("t.source"))
         & (F.col("p.content") == F.col("t.content")),
     ).select("p.doc_id", "p.source", "start", "size", F.regexp_extract_all("text", F.lit(SPACE_WORD), F.lit(0)).alias("words"))
+    # One key for both sides that is never null: blocks are then dealt as the join wants them, and
+    # texts move once.
+    named = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), "source"))
     cut = pieces(joined, block_tokens).select(
-        "source", "block", "at", "doc_id",
+        named.alias("key"), "block", "at", "doc_id",
         F.array_join(F.slice("words", (F.col("at") - F.col("start") + 1).cast("int"), (F.col("end") - F.col("at")).cast("int")), " ").alias("text"),
         (F.col("end") - F.col("at")).alias("n"),
     )
-    blocks = cut.groupBy("source", "block").agg(
+    blocks = cut.groupBy("key", "block").agg(
         F.array_sort(F.collect_list(F.struct("at", "doc_id", "text"))).alias("parts"), F.sum("n").alias("n_tokens")
     )
     return (
-        slots.alias("s")
-        .join(blocks.alias("b"), F.col("s.source").eqNullSafe(F.col("b.source")) & (F.col("s.block") == F.col("b.block")))
-        .select(
-            "shard", "slot", F.col("s.source").alias("source"), F.col("s.block").alias("block"), "pass",
-            F.col("parts.doc_id").alias("doc_ids"), "n_tokens", F.array_join("parts.text", " ").alias("text"),
-        )
-    )
+        slots.withColumn("key", named)
+        .join(blocks, ["key", "block"])
+        .select("shard", "slot", "source", "block", "pass", F.col("parts.doc_id").alias("doc_ids"), "n_tokens", F.array_join("parts.text", " ").alias("text"))
+    )
