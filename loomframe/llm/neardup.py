@@ -5,11 +5,14 @@ estimate their similarity from the population count of an XOR, and full shingle
 2. Each class has bands of MinHash values. Two classes of similarity s share a band with
    probability 1 - (1 - s^rows)^bands; at the threshold 0.8, with 40 bands of 6, that misses 5 in a
    million links.
-3. In each bucket (band and value) all members are compared with the bucket's first one only, so a
-   group of any size gives as many candidates as it has members. Confirmed links are joined up.
-4. In buckets whose members then still lie in several components, all members of different
-   components are compared by their sketches, in blocks; only pairs that the sketches leave
-   plausible come out, and are confirmed. So no link between members of a bucket is lost.
+3. Two rounds of stars propose candidates in buckets (band and value): each class with the smallest
+   of its buckets' first members, then the first member of each component in a bucket with the
+   bucket's first. So a group of any size gives no more candidates than it has members and buckets.
+   Sketches drop those that cannot be links; full sets confirm the rest; links are joined up.
+4. In buckets whose members then still lie in several components, members of different components
+   are compared in blocks, by sketch, and the plausible ones by full set, most similar first, until
+   the components meet. Only confirmed links come out. So no link between members of a bucket is
+   lost, and no list of pairs is made.
 5. Components are the classes' connected components; every step is a join or aggregate with
    reliable checkpoints, and nothing but counters reaches the driver.
 """
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomframe.llm._common import columns_of, map_bytes, staged, unused
+from loomframe.llm._common import columns_of, map_bytes, quoted, staged, unused
 
 SKETCH_BITS = 512
 #: How far below the threshold an estimate may lie before a candidate is given up: about six
@@ -172,11 +175,29 @@ def fingerprints(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFr
     return staged(map_bytes(texts, run, schema), "fingerprints")
 
 
-def star_candidates(buckets: DataFrame) -> DataFrame:
-    """a, b: every member of a bucket with the bucket's smallest node."""
-    first = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1)
-    pairs = buckets.join(first, "key").where(F.col("a") != F.col("node"))
-    return pairs.select("a", F.col("node").alias("b")).distinct()
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """Staged: key, node and first (the smallest node) for the buckets of two or more classes."""
+    buckets = classes.select("node", F.explode("keys").alias("key"))
+    first = buckets.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
+    return staged(buckets.join(first.drop("n"), "key"), "buckets")
+
+
+def leader_pairs(buckets: DataFrame) -> DataFrame:
+    """a, b: each node that is not first everywhere, with the smallest first of its buckets."""
+    least = buckets.groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a"))
+    return least.where(F.col("a") != F.col("b")).select("a", "b")
+
+
+def with_components(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    named = buckets.join(labels, "node", "left")
+    return named.select("key", "node", F.coalesce("component", "node").alias("component"))
+
+
+def component_pairs(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: in each bucket the first node with the first node of each other component."""
+    heads = with_components(buckets, labels).groupBy("key", "component").agg(F.min("node").alias("b"))
+    first = heads.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1)
+    return heads.join(first, "key").where(F.col("a") != F.col("b")).select("a", "b").distinct()
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, threshold: float, samples: int) -> DataFrame:
@@ -195,18 +216,23 @@ def plausible(pairs: DataFrame, classes: DataFrame, threshold: float, samples: i
     )
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold. Texts of the classes in pairs only
-    are shuffled; a class in very many pairs is a hot key of an equi-join, which AQE splits."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = classes.join(ends, "node", "left_semi").select("node", F.col("doc_id").alias("id"), "content")
+def texts_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Staged: node and text of the classes in nodes, the only texts that are shuffled."""
+    wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("id"), "content")
     source = docs.select("doc_id", F.xxhash64("text").alias("content_"), "text")
-    texts = (
-        source.join(wanted, source["doc_id"].eqNullSafe(wanted["id"]) & (source["content_"] == wanted["content"]))
-        .select("node", F.col("text").cast("binary").alias("text"))
-        .dropDuplicates(["node"])
-    )
-    texts = staged(texts, "texts")
+    same = source["doc_id"].eqNullSafe(wanted["id"]) & (source["content_"] == wanted["content"])
+    found = source.join(wanted, same).select("node", F.col("text").cast("binary").alias("text"))
+    return staged(found.dropDuplicates(["node"]), "texts")
+
+
+def reaches(x: set, y: set, percent: int) -> bool:
+    shared = len(x & y)
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """The pairs whose full shingle sets reach the threshold. A class in very many pairs is a hot
+    key of an equi-join, which AQE splits."""
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(
         texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"
     )
@@ -219,9 +245,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: in
             for a, x, y in zip(*(batch.column(n) for n in ("a", "text_a", "text_b")), strict=True):
                 if last[0] != a.as_py():  # rows come sorted by a from a sort-merge join
                     last = (a.as_py(), shingle_set(x.as_py(), shingle))
-                other = shingle_set(y.as_py(), shingle)
-                shared = len(last[1] & other)
-                keep.append(100 * shared >= percent * (len(last[1]) + len(other) - shared))
+                keep.append(reaches(last[1], shingle_set(y.as_py(), shingle), percent))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, pairs.select("a", "b").schema)
@@ -254,51 +278,67 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
 
 
-def remaining_candidates(
-    buckets: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float, samples: int, block: int
-) -> DataFrame:
-    """a, b: members of one bucket in different components, other than its smallest, whose sketches
-    differ little enough. Buckets are compared in blocks of about block members, two at a time, so
-    a task holds two blocks whatever the bucket's size."""
-    named = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+def remaining_links(
+    buckets: DataFrame, classes: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, threshold: float,
+    samples: int, block: int,
+) -> DataFrame:
+    """a, b: links that join different components within a bucket, enough of them to join all that
+    the bucket's links join. Buckets are compared in blocks of about block members, two at a time,
+    so a task holds two blocks whatever the bucket's size."""
+    named = with_components(buckets, labels)
     split = (
         named.groupBy("key")
-        .agg(F.min("node").alias("first"), F.count("*").alias("n"), F.min("component").alias("c1"), F.max("component").alias("c2"))
+        .agg(F.count("*").alias("n"), F.min("component").alias("c1"), F.max("component").alias("c2"))
         .where((F.col("n") > 2) & (F.col("c1") != F.col("c2")))
-        .select("key", "first", "n")
+        .select("key", "n")
     )
     blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    more = classes.select("node", "n_shingles", "sketch").join(texts, "node")
     members = (
         named.join(split, "key")
-        .where(F.col("node") != F.col("first"))
-        .join(classes.select("node", "n_shingles", "sketch"), "node")
-        .withColumn("own", own)
+        .withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n_shingles", "sketch")
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
+        .join(more, "node")
     )
-    most = most_different(threshold, samples)
+    most, percent = most_different(threshold, samples), round(threshold * 100)
 
     def compare(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         own = table.column("own").to_numpy()
-        node = np.array(table.column("node").to_pylist(), object)
+        node, raw = table.column("node").to_pylist(), table.column("text")
         component = np.unique(np.array(table.column("component").to_pylist(), object), return_inverse=True)[1]
         size = table.column("n_shingles").to_numpy()
-        sketch = np.array(table.column("sketch").to_pylist(), np.int64).reshape(-1, SKETCH_BITS // 64)
+        sketch = np.array(table.column("sketch").to_pylist(), np.int64).reshape(-1, SKETCH_BITS // 64).view(np.uint64)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
+        close = []
         for x in left:
             others = right[right > x] if i == j else right
-            ok = (component[others] != component[x]) & (
-                np.minimum(size[others], size[x]) >= threshold * np.maximum(size[others], size[x])
-            )
-            others = others[ok]
-            if len(others):
-                bits = np.bitwise_count(sketch[others] ^ sketch[x]).sum(axis=1)
-                for y in others[bits <= most]:
-                    a.append(min(node[x], node[y]))
-                    b.append(max(node[x], node[y]))
+            fits = np.minimum(size[others], size[x]) >= threshold * np.maximum(size[others], size[x])
+            others = others[fits & (component[others] != component[x])]
+            bits = np.bitwise_count(sketch[others] ^ sketch[x]).sum(axis=1)
+            close += [(int(n), int(x), int(y)) for n, y in zip(bits, others, strict=True) if n <= most]
+        parent = list(range(int(component.max()) + 1))
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        sets: dict[int, set] = {}
+        a, b = [], []
+        for _, x, y in sorted(close):
+            p, q = root(component[x]), root(component[y])
+            if p == q:
+                continue
+            for k in (x, y):
+                if k not in sets:
+                    sets[k] = shingle_set(raw[k].as_py(), shingle)
+            if reaches(sets[x], sets[y], percent):
+                parent[p] = q
+                a.append(min(node[x], node[y]))
+                b.append(max(node[x], node[y]))
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return members.groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
@@ -326,16 +366,22 @@ def group(
         .select("node", "x.doc_id", "x.content", "x.n_shingles", "x.keys", "x.sketch"),
         "classes",
     )
-    buckets = classes.select("node", F.explode("keys").alias("key"))
-    candidates = staged(plausible(star_candidates(buckets), classes, threshold, samples), "candidates")
-    links = staged(confirmed(candidates, texts, classes, shingle, threshold), "links")
+    buckets = shared_buckets(classes)
+    bodies = texts_of(buckets.select("node").distinct(), texts, classes)
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return staged(confirmed(plausible(pairs, classes, threshold, samples), bodies, shingle, threshold), "links")
+
+    links = checked(leader_pairs(buckets))
     labels = components(links)
-    rest = remaining_candidates(buckets, classes, labels, threshold, samples, block)
-    rest = staged(rest.join(candidates, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = staged(confirmed(rest, texts, classes, shingle, threshold), "links")
-        if not more.isEmpty():
-            labels = components(links.select("a", "b").union(more))
+    for more in (
+        lambda: checked(component_pairs(buckets, labels)),
+        lambda: staged(remaining_links(buckets, classes, labels, bodies, shingle, threshold, samples, block), "links"),
+    ):
+        found = more()
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = components(links)
     # Classes, then components, by partial minima; a hot class or component is one row of either.
     members = classes.select("node", "doc_id").join(labels, "node", "left")
     members = staged(members.select("node", "doc_id", F.coalesce("component", "node").alias("component")), "members")
@@ -366,7 +412,7 @@ def drop_duplicates(docs: DataFrame, **options) -> DataFrame:
     blank = F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     filled = docs.where(~blank).withColumn(mark, F.xxhash64("text"))
     kept = filled.join(keep, filled["doc_id"].eqNullSafe(keep[same]) & (filled[mark] == keep[content]))
-    out = kept.where(F.col(rows) == 1).select(*names)
+    out = kept.where(F.col(rows) == 1).select(*quoted(names))
     if not keep.where(F.col(rows) > 1).isEmpty():  # one row of those that repeat id and text
-        out = out.unionByName(kept.where(F.col(rows) > 1).dropDuplicates(["doc_id", mark]).select(*names))
+        out = out.unionByName(kept.where(F.col(rows) > 1).dropDuplicates(["doc_id", mark]).select(*quoted(names)))
     return out.unionByName(docs.where(blank))
