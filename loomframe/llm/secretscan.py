@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomframe.llm._common import columns_of, staged, unused
+from loomframe.llm._common import columns_of, quoted, staged, unused
 
 with warnings.catch_warnings():
     warnings.simplefilter("ignore")
@@ -41,19 +41,23 @@ class Rule:
     least: int = 1
 
 
+# A rule whose match ends in one run of characters asks for its length in the pattern itself: the run
+# is taken whole either way, so the same matches count, and short runs, which any text has by the
+# thousand, are no matches at all.
+
 # The base rules, in the order in which spans of one start are listed.
 BASE_RULES = (
     Rule("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
-    Rule("hex", r"[0-9a-f]+", 0, 32),
+    Rule("access", r"AKIA[A-Z0-9]{12,}"),
+    Rule("hex", r"[0-9a-f]{32,}"),
 )
 # Further rules.
 MORE_RULES = (
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("slack", r"xox[abeoprs]-[A-Za-z0-9-]+", 0, 15),
+    Rule("slack", r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -166,7 +170,7 @@ def with_rules(docs: DataFrame, rules: tuple[Rule, ...], name: str) -> DataFrame
     marked = docs.withColumn(mark, F.xxhash64("text"))
     joined = marked.join(few, marked["doc_id"].eqNullSafe(few[same]) & (marked[mark] == few[content]), "left")
     always = F.array(*map(F.lit, full)).cast("array<int>")
-    return joined.select(*columns, F.concat(F.coalesce(found, F.array().cast("array<int>")), always).alias(name))
+    return joined.select(*quoted(columns), F.concat(F.coalesce(found, F.array().cast("array<int>")), always).alias(name))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -243,7 +247,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[REDAC
     marked = with_rules(docs, rules, todo)
     for n, rule in enumerate(rules):
         marked = marked.withColumn("text", _redacted(F.col("text"), F.array_contains(todo, n), rule, mark))
-    return marked.select(*docs.columns)
+    return marked.select(*quoted(docs.columns))
 
 
 def _redacted(text: Column, wanted: Column, rule: Rule, mark: str) -> Column:
