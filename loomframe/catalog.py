@@ -22,7 +22,7 @@ C = F.col
 def _(t: Tables):
     rows = t.lineitem.query("l_quantity > 25 and l_discount between 0.05 and 0.07")
     sums = rows.group_by("l_returnflag").agg({"l_extendedprice": "sum", "l_discount": "mean", "l_quantity": "count"})
-    return sums.sort_by("l_extendedprice_sum", ascending=False).ordered_by("l_extendedprice_sum").sort_by("l_extendedprice_sum", False)
+    return sums.nlargest(10, "l_extendedprice_sum")
 
 
 @query(
@@ -387,7 +387,7 @@ query("win_16_sql_windows", "SELECT o_orderkey, row_number() OVER (PARTITION BY
 # ---------------------------------------------------------------- sort, top-k, duplicates, sets
 
 query("sort_01_sort_by", f"SELECT event_id, v, e FROM ({_NULLS}) ORDER BY e DESC NULLS LAST, v NULLS LAST, event_id LIMIT 500")(
-    lambda t: with_nulls(t).sort_by(["e", "v"], [False, True])._with(with_nulls(t).sort_by(["e", "v"], [False, True]).df.limit(500)).select("event_id", "v", "e")
+    lambda t: with_nulls(t).sort_by(["e", "v"], [False, True]).df.limit(500).select("event_id", "v", "e")
 )
 query("sort_04_sort_indices", "SELECT n_nationkey::BIGINT AS position FROM nation")(lambda t: t.nation.sort_indices("n_name", False))
 query("sort_05_nlargest", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")(lambda t: t.orders.nlargest(15, "o_totalprice"))
