@@ -303,7 +303,7 @@ def remaining_links(
     )
     most, percent = most_different(threshold, samples), round(threshold * 100)
 
-    def compare(table: pa.Table) -> pa.Table:
+    def compare(table: pa.Table) -> tuple[list, list]:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         own = table.column("own").to_numpy()
         node, raw = table.column("node").to_pylist(), table.column("text")
@@ -339,13 +339,38 @@ def remaining_links(
                 parent[p] = q
                 a.append(min(node[x], node[y]))
                 b.append(max(node[x], node[y]))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        return a, b
 
-    return members.groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks one after another from the sorted rows of a task; of them all, one is held."""
+        held: list[pa.RecordBatch] = []
+        at = None
+        for batch in batches:
+            names = list(zip(*(batch.column(n).to_pylist() for n in ("key", "i", "j")), strict=True))
+            a, b, start = [], [], 0
+            for end in range(1, len(names) + 1):
+                if end < len(names) and names[end] == names[start]:
+                    continue
+                if held and names[start] != at:
+                    x, y = compare(pa.Table.from_batches(held))
+                    a, b, held = a + x, b + y, []
+                at = names[start]
+                held.append(batch.slice(start, end - start))
+                start = end
+            yield links(a, b)
+        if held:
+            yield links(*compare(pa.Table.from_batches(held)))
+
+    def links(a: list, b: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    # Many small blocks: dealt and sorted once, they cost a call each rather than a group of Spark's.
+    sorted_rows = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return sorted_rows.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def group(
-    docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: int = 40, rows: int = 6, block: int = 512
+    docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: int = 40, rows: int = 6, block: int = 1024
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, content (a hash of the text) and component (a digest
     that names the group, null without shingles) of every row.

@@ -267,7 +267,7 @@ def chain(spark):
     return out, spark.createDataFrame(out, "doc_id long, text string").repartition(4)
 
 
-@pytest.mark.parametrize("block", [512, 16])
+@pytest.mark.parametrize("block", [1024, 16])
 def test_groups_about_the_threshold(spark, block):
     rows, df = chain(spark)
     _, roots = brute_components([t for _, t in rows], 2)
