@@ -4,7 +4,8 @@ Counts of byte contexts of order 3 and below form a trie. A symbol is coded in t
 context; a symbol that it has not seen escapes (method C: as often as the context has distinct
 symbols) to the next shorter one, where the symbols already excluded no longer count. The trie is
 trained on the whole training fold, and as it is fixed while scoring, the code length of each
-(context, symbol) is worked out once; a text's code length is a sum of table look-ups.
+(context, symbol) is worked out once; a text's code length is a sum of table look-ups. The contexts of
+order 3 that are met most are looked up in a broadcast table, all others meet theirs in a join.
 
 Beside it stands a unigram baseline with add-one smoothing, from exact counts of all words.
 """
@@ -97,14 +98,16 @@ def corpus_counts(train: DataFrame, flush: int = 300_000) -> DataFrame:
 
 
 class Trie:
-    """Code lengths in bits for every known context, dense over the symbols seen.
+    """Code lengths in bits for the given contexts, dense over the symbols seen.
 
-    grams: (context, symbol) -> count of order 3; lower: the same of order 2, complete. Contexts
-    of order 3 beyond the given ones are coded from order 2.
+    keys3, n3: (context, symbol) and count of order 3; keys2, n2: the same of order 2, complete.
+    known: a bit for each of the 2**24 contexts of order 3, whether training met it. Those met but
+    not in keys3 are coded from order 2, and told as missed.
     """
 
-    def __init__(self, keys3: np.ndarray, n3: np.ndarray, keys2: np.ndarray, n2: np.ndarray):
+    def __init__(self, keys3: np.ndarray, n3: np.ndarray, keys2: np.ndarray, n2: np.ndarray, known: np.ndarray):
         self.key = uuid.uuid4().hex
+        self.known = known
         seen = np.unique(keys2 & 255)
         #: Symbol -> column; the last column is for a symbol never seen.
         self.column = np.full(256, len(seen), np.int32)
@@ -131,6 +134,7 @@ class Trie:
         up2 = np.searchsorted(nodes1, nodes2 & 255)
         beyond2 = self._after_escape(m2, m1, up2, beyond1)
         row2 = self._code(m2, beyond2)
+        self.met2 = m2 > 0
         rows = [np.empty((0, width))]
         cuts = np.searchsorted(keys3 >> 8, self.nodes3[::4096]) if len(keys3) else np.zeros(0, int)
         for i, at in enumerate(cuts):  # the order 3 matrices a few thousand contexts at a time
@@ -162,35 +166,67 @@ class Trie:
         return np.where(p > 0, whole - np.log2(np.maximum(p, 1)), escape + beyond[up])
 
     def index(self) -> np.ndarray:
-        """Context in 24 bits -> row of bits."""
+        """Context in 24 bits -> row of bits; ~row (below 0) for a context that is told as missed."""
         n3, n2, n1 = len(self.nodes3), len(self.nodes2), len(self.nodes1)
         by1 = np.full(256, n3 + n2 + n1, np.int32)
         by1[self.nodes1] = n3 + n2 + np.arange(n1)
         by2 = np.tile(by1, 256)
         by2[self.nodes2] = n3 + np.arange(n2)
         by3 = np.tile(by2, 256)
+        missed = np.unpackbits(self.known, bitorder="little").astype(bool)
+        missed[self.nodes3] = False
+        by3[missed] = ~by3[missed]
         by3[self.nodes3] = np.arange(n3)
         return by3
 
-    def code_lengths(self, texts: list[bytes], index: np.ndarray) -> np.ndarray:
-        """Bits of each text with its end."""
+    def code_lengths(self, texts: list[bytes], index: np.ndarray) -> tuple[np.ndarray, list[list[dict]]]:
+        """Bits of each text with its end, and what each has of missed contexts: the context, the
+        symbol, whether order 2 has met it, and how often it stands there."""
         if not texts:
-            return np.zeros(0)
+            return np.zeros(0), []
         buffer, starts, ends = packed(texts)
         rows = index[contexts(buffer)].astype(np.int64)
+        missed: list[list[dict]] = [[] for _ in texts]
+        at = np.flatnonzero(rows < 0)
+        if len(at):
+            rows[at] = ~rows[at]
+            text = np.searchsorted(starts - 3, at, "right") - 1
+            inside = (text >= 0) & (at < ends[text] - 3)
+            at, text = at[inside], text[inside]
+            met = self.met2[rows[at] - len(self.nodes3), self.column[buffer[at + 3]]]
+            gram = (contexts(buffer)[at].astype(np.int64) << 8) | buffer[at + 3]
+            each, times = np.unique((text << 33) | (gram << 1) | met, return_counts=True)
+            for k, n in zip(each.tolist(), times.tolist(), strict=True):
+                missed[k >> 33].append({"context": (k >> 9) & 0xFFFFFF, "symbol": (k >> 1) & 255, "met2": bool(k & 1), "times": n})
         bits = self.bits.ravel()[rows * self.bits.shape[1] + self.column[buffer[3:]]]
         cut = np.empty(2 * len(texts), np.int64)
         cut[0::2], cut[1::2] = starts - 3, ends - 3
         if cut[-1] == len(bits):
             cut = cut[:-1]
-        return np.add.reduceat(bits, cut, dtype=np.float64)[0::2]
+        return np.add.reduceat(bits, cut, dtype=np.float64)[0::2], missed
 
 
-def train_trie(counts: DataFrame, most_contexts: int) -> Trie:
-    """Order 2 is whole (at most 2**24 grams); of order 3 the most_contexts contexts that are met
-    most. So the driver gets at most 2**24 + 256 * most_contexts counts."""
+def all_grams(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """g and n of (context, symbol) grams, of order 3 and of order 2."""
     grams = counts.where(F.col("kind") == GRAM).select(F.conv(F.hex("key"), 16, 10).cast("long").alias("g"), "n")
-    lower = grams.groupBy(F.col("g").bitwiseAND(F.lit(0xFFFFFF)).alias("g")).agg(F.sum("n").alias("n"))
+    return grams, grams.groupBy(F.col("g").bitwiseAND(F.lit(0xFFFFFF)).alias("g")).agg(F.sum("n").alias("n"))
+
+
+def known_contexts(grams: DataFrame) -> np.ndarray:
+    """A bit for each context of order 3, set for those of grams: 2 MB, whatever the input."""
+    place = F.shiftright("g", 8) + 1  # buckets hold the values from 1 on
+    buckets = grams.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    known = np.zeros(1 << 21, np.uint8)
+    for b, bits in buckets.collect():
+        known[(b - 1) * 4096 : b * 4096] = np.frombuffer(bits, np.uint8)
+    return known
+
+
+def train_trie(counts: DataFrame, most_contexts: int) -> Trie:
+    """The trie of order 2 (whole: at most 2**24 grams) and the most_contexts contexts of order 3
+    that are met most. So the driver gets at most 2**24 + 256 *
+    most_contexts counts; all other contexts of order 3 are for context_bits()."""
+    grams, lower = all_grams(counts)
     context = F.shiftright("g", 8)
     met = grams.groupBy(context.alias("c")).agg(F.sum("n").alias("met")).orderBy(F.desc("met"), "c").limit(most_contexts)
     upper = grams.withColumn("c", context).join(met.select("c"), "c", "left_semi").select("g", "n")
@@ -201,7 +237,39 @@ def train_trie(counts: DataFrame, most_contexts: int) -> Trie:
         order = np.argsort(keys)
         return keys[order], table.column("n").to_numpy().astype(np.float64)[order]
 
-    return Trie(*arrays(upper), *arrays(lower))
+    return Trie(*arrays(upper), *arrays(lower), known_contexts(grams))
+
+
+def context_bits(counts: DataFrame) -> DataFrame:
+    """Of every context of order 3: what a symbol's code takes more than from order 2. context,
+    symbols (those the context has met, by symbol), and for the others after the escape, without the
+    context's symbols: known2 if order 2 has met the symbol, unknown2 if not."""
+    grams, lower = all_grams(counts)
+    by2 = lower.groupBy(F.shiftright("g", 8).alias("c2")).agg(F.sum("n").alias("t2"), F.count("*").alias("k2"))
+    whole2 = F.log2(F.col("t2") + F.col("k2"))
+    lower = lower.select(F.col("g").alias("g2"), F.col("n").alias("n2"))
+    each = grams.withColumn("g2", F.col("g").bitwiseAND(F.lit(0xFFFFFF))).join(lower, "g2")
+    by3 = (
+        each.groupBy(F.shiftright("g", 8).alias("context"))
+        .agg(
+            F.sum("n").alias("t3"),
+            F.count("*").alias("k3"),
+            F.sum("n2").alias("gone"),
+            F.collect_list(F.struct(F.col("g").bitwiseAND(F.lit(255)).cast("int").alias("s"), (F.log2("n2") - F.log2("n")).alias("more"))).alias("own"),
+        )
+        .withColumn("c2", F.col("context").bitwiseAND(F.lit(0xFFFF)))
+        .join(by2, "c2")
+    )
+    whole3 = F.log2(F.col("t3") + F.col("k3"))
+    kinds = F.col("k2") - F.col("k3")
+    left = F.log2(F.col("t2") - F.col("gone") + kinds)
+    escape = whole3 - F.log2("k3")
+    return by3.select(
+        "context",
+        F.map_from_entries(F.transform("own", lambda x: F.struct(x["s"], whole3 - whole2 + x["more"]))).alias("symbols"),
+        F.when(kinds > 0, escape + left - whole2).alias("known2"),
+        (escape + F.when(kinds > 0, left - F.log2(kinds)).otherwise(0.0) - whole2 + F.log2("k2")).alias("unknown2"),
+    )
 
 
 _indexes: dict[str, np.ndarray] = {}
@@ -238,7 +306,8 @@ def score_texts(
     lower-cased text and its end). Both learn from the rows whose crc32(doc_id) mod folds is not
     held_out; a null id is learnt from. A null text counts as empty: one token, its end. Words are
     looked up in a broadcast table of at most table_words frequent ones; all others meet their
-    counts in a join by word. With nothing to learn from both scores are those of empty models.
+    counts in a join by word. So are contexts of order 3 in one of the most_contexts met most; all
+    others seen meet their code lengths in a join by context. With nothing to learn from both scores are those of empty models.
     """
     rows = columns_of(docs, "doc_id", "text").select(
         "doc_id", F.coalesce(id_remainder(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "text"
@@ -254,6 +323,14 @@ def score_texts(
     end_part = math.log10(ends + 1)
 
     missed = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("times", T.LongType())])
+    in_context = T.StructType(
+        [
+            T.StructField("context", T.LongType()),
+            T.StructField("symbol", T.IntegerType()),
+            T.StructField("met2", T.BooleanType()),
+            T.StructField("times", T.LongType()),
+        ]
+    )
     schema = T.StructType(
         [
             *rows.drop("text").schema.fields,
@@ -263,6 +340,7 @@ def score_texts(
             T.StructField("part", T.DoubleType()),
             T.StructField("bits", T.DoubleType()),
             T.StructField("missed", T.ArrayType(missed)),
+            T.StructField("contexts", T.ArrayType(in_context)),
         ]
     )
 
@@ -280,13 +358,15 @@ def score_texts(
             part.append(sum(parts) + end_part)
             rest = Counter(w for w, x in zip(tokens, found, strict=True) if x is None)
             misses.append([{"key": k, "times": n} for k, n in rest.items()])
-        bits, held, at = [], 0, 0
+        bits, seldom_met, held, at = [], [], 0, 0
         for i, t in enumerate(texts):  # about a megabyte at a time, for the arrays made of it
             held += len(t)
             if held > 1 << 20 or i + 1 == len(texts):
-                bits += trie.code_lengths(texts[at : i + 1], index).tolist()
+                more, without = trie.code_lengths(texts[at : i + 1], index)
+                bits += more.tolist()
+                seldom_met += without
                 held, at = 0, i + 1
-        return others | {"n_tokens": n_tokens, "known": known, "part": part, "bits": bits, "missed": misses}
+        return others | {"n_tokens": n_tokens, "known": known, "part": part, "bits": bits, "missed": misses, "contexts": seldom_met}
 
     scored = staged(map_bytes(rows.withColumn("row_id", F.monotonically_increasing_id()), run, schema), "scored")
     seldom = words.where(F.floor(F.log2("n") * 4).cast("int") < cut)
@@ -297,9 +377,18 @@ def score_texts(
         .groupBy("row_id")
         .agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_part"))
     )
+    more_bits = F.coalesce(F.col("symbols")[F.col("symbol")], F.when(F.col("met2"), F.col("known2")).otherwise(F.col("unknown2")))
+    seldom_coded = (
+        scored.select("row_id", F.explode("contexts").alias("m"))
+        .select("row_id", "m.context", "m.symbol", "m.met2", "m.times")
+        .join(context_bits(counts), "context")
+        .groupBy("row_id")
+        .agg(F.sum(F.col("times") * more_bits).alias("more_bits"))
+    )
     return (
-        scored.drop("missed")
+        scored.drop("missed", "contexts")
         .join(met, "row_id", "left")
+        .join(seldom_coded, "row_id", "left")
         .select(
             "doc_id",
             "held_out",
@@ -309,6 +398,6 @@ def score_texts(
             (
                 F.col("part") + F.coalesce("more_part", F.lit(0.0)) - F.col("n_tokens") * math.log10(total + distinct + 1)
             ).alias("base_score"),
-            (F.col("bits") * -math.log10(2)).alias("score"),
+            ((F.col("bits") + F.coalesce("more_bits", F.lit(0.0))) * -math.log10(2)).alias("score"),
         )
     )

@@ -352,6 +352,14 @@ def test_ppm_against_a_plain_coder(docs):
         assert got[r[0]][0]["score"] == pytest.approx(-bits(r[1]) * math.log10(2), rel=1e-5)
 
 
+def test_contexts_beyond_the_broadcast_table(docs):
+    """Every context seen codes, whether the table holds it or not."""
+    want = by_id(ppm.score_texts(docs))
+    for most in (5, 300):
+        got = by_id(ppm.score_texts(docs, most_contexts=most))
+        assert all(g["score"] == pytest.approx(want[i][0]["score"], rel=1e-5) for i, rs in got.items() for g in rs)
+
+
 # ---------------------------------------------------------------- 6 secrets
 
 
