@@ -23,17 +23,43 @@ SSN = (898 * 99, 9999)
 EMAIL = r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 ADDRESS = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}"
 ISO_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
-DAY_FIRST = r"[0-9]{2}([./])[0-9]{2}\1[0-9]{4}"
 SSN_TEXT = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-PHONE = r"\+[0-9]{1,3} ?(?:\([0-9]{3}\)|[0-9]{3})[ -]?[0-9]{3}[ -]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}"
-CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
+#: Kind, pattern and layout of dates, in the order in which they are read: day first where both are possible.
+DATES = (
+    ("date", ISO_DATE, "yyyy-MM-dd"),
+    ("date/", r"[0-9]{2}/[0-9]{2}/[0-9]{4}", "dd/MM/yyyy"),
+    ("date/month", r"[0-9]{2}/[0-9]{2}/[0-9]{4}", "MM/dd/yyyy"),
+    ("date/short", r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", "d/M/yyyy"),
+    ("date/month short", r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", "M/d/yyyy"),
+    ("date/year", r"[0-9]{4}/[0-9]{2}/[0-9]{2}", "yyyy/MM/dd"),
+    ("date/year short", r"[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}", "yyyy/M/d"),
+    ("date.", r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}", "dd.MM.yyyy"),
+)
+#: Usual groupings of card numbers, and a run of numbers that is long enough to hold one.
+CARD = r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}"
+RUN = r"(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![0-9A-Za-z])(?:[ -][0-9]++(?![0-9A-Za-z]))*+"
+_NO_CARD = r"(?![0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4}|[0-9]{13})"
+_REST = rf"(?:[ .-]?{_NO_CARD}[0-9])"
+PHONE = "|".join(
+    [
+        r"\+[0-9]{1,3} ?(?:\([0-9]{3}\)|[0-9]{3})[ -]?[0-9]{3}[ -]?[0-9]{4}",
+        r"(?:\+?1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}",
+        r"\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}",
+        rf"\+[1-9][0-9]{{0,2}}{_REST}{{6,12}}",
+        rf"\+[1-9][0-9]{{0,2}}[ .-]?\([0-9]{{1,4}}\){_REST}{{4,8}}",
+        *[rf"(?:1{x})?[0-9]{{3}}{x}[0-9]{{3}}{x}[0-9]{{4}}" for x in ("-", r"\.", " ")],
+        r"0[1-9](?:[ .-][0-9]{2}){4}",
+        rf"{_NO_CARD}0[1-9][0-9]{{1,3}}[ /-](?:[0-9]{{3,4}}[ -][0-9]{{3,4}}|[0-9]{{5,8}})",
+        r"\(0[1-9][0-9]{0,3}\) ?(?:[0-9]{3,4}[ -][0-9]{3,4}|[0-9]{5,8})",
+    ]
+)
 ANY = "|".join(
     [
         rf"(?<![A-Za-z0-9_%+.@-])(?:{EMAIL})",
         rf"(?<![0-9A-Za-z.])(?:{ADDRESS})(?![0-9A-Za-z]|\.[0-9])",
-        rf"(?<![0-9A-Za-z./-])(?:{ISO_DATE}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}|[0-9]{{2}}\.[0-9]{{2}}\.[0-9]{{4}}|{SSN_TEXT})(?![0-9A-Za-z/-])",
-        rf"(?<![0-9A-Za-z+(-])(?:{PHONE})(?![0-9A-Za-z-])",
-        rf"(?<![0-9A-Za-z+-])(?:{CARD})(?![0-9A-Za-z-])",
+        rf"(?<![0-9A-Za-z./-])(?:{'|'.join(pattern for _, pattern, _ in DATES)}|{SSN_TEXT})(?![0-9A-Za-z/-])",
+        rf"(?<![0-9A-Za-z+-])(?:{PHONE})(?![0-9A-Za-z-])",
+        rf"(?<![0-9A-Za-z+-])(?:{RUN})",
     ]
 )
 
@@ -135,12 +161,63 @@ def _card(m: Column, key: str) -> Column:
     return laid_out(m, F.concat(payload, check))
 
 
-def _date(m: Column, parse: str, key: str) -> Column:
-    """In its own layout; null if there is no such day in the cycle."""
+def _cards(m: Column, key: str) -> Column:
+    """out and n: a run of numbers with pseudonyms for its n cards. A number counts as a card in a
+    usual grouping wherever in the run it starts; in any other grouping as the longest one from the
+    run's start, or from the end of the last such try, that does not reach into one of the former."""
+    groups = F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0))
+    text = lambda s, i, n: F.array_join(F.slice(s["groups"], i, n), "")
+    valid = lambda t: luhn_sum(digits_of(t), 1) % 10 == 0
+    to_end = lambda s, i, most: F.sequence(F.lit(1), F.least(F.lit(most), F.size(s["groups"]) - i + 1))
+
+    def usual(s: Column, i: Column) -> Column:
+        return F.filter(
+            to_end(s, i, 5), lambda n: F.regexp_like(F.regexp_replace(text(s, i, n), "[ -]$", ""), F.lit(f"^(?:{CARD})$")) & valid(text(s, i, n))
+        )
+
+    def other(s: Column, i: Column) -> Column:
+        fits = F.filter(to_end(s, i, 19), lambda n: F.length(digits_of(text(s, i, n))).between(13, 19))
+        return F.coalesce(F.array_max(fits), F.lit(1))
+
+    def turn(s: Column, i: Column) -> Column:
+        """at: the next group to write; tried: the next one that may start another grouping."""
+        n, long = F.get(usual(s, i), F.lit(0)), other(s, i)
+        clear = ~F.exists(F.sequence(i, i + long - 1), lambda j: F.size(usual(s, j)) > 0)
+        is_other = (s["tried"] <= i) & F.length(digits_of(text(s, i, long))).between(13, 19) & clear & valid(text(s, i, long))
+
+        def state(out: Column, at: Column, tried: Column, n: Column) -> Column:
+            return F.struct(s["groups"].alias("groups"), F.concat(s["out"], out).alias("out"), at.cast("int").alias("at"), tried.cast("int").alias("tried"), n.cast("int").alias("n"))
+
+        return (
+            F.when(s["at"] > i, s)
+            .when(n.isNotNull(), state(_card(text(s, i, n), key), i + n, i + n, s["n"] + 1))
+            .when(is_other, state(_card(text(s, i, long), key), i + long, i + long, s["n"] + 1))
+            .otherwise(state(F.element_at(s["groups"], i), i + 1, F.when(s["tried"] <= i, i + long).otherwise(s["tried"]), s["n"]))
+        )
+
+    start = F.struct(groups.alias("groups"), F.lit("").alias("out"), F.lit(1).alias("at"), F.lit(1).alias("tried"), F.lit(0).alias("n"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, turn, lambda s: F.struct(s["out"].alias("out"), s["n"].alias("n")))
+
+
+def _day(m: Column, parse: str) -> Column:
+    """Its number in the cycle; null if there is no such day."""
     day = F.date_diff(F.try_to_date(m, parse), F.lit(FIRST_DAY).cast("date"))
-    other = feistel_number(day.cast("long"), DAYS, key, "date")
-    known = day.isNotNull() & (day >= 0) & (day < DAYS[0] * DAYS[1])
-    return F.when(known, F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), other.cast("int")), parse))
+    return F.when((day >= 0) & (day < DAYS[0] * DAYS[1]), day.cast("long"))
+
+
+def _date(m: Column, kind: str, parse: str, key: str) -> Column:
+    """In its own layout. A month-first date that cannot be read day first stays such a one: the
+    permutation is applied until it gives one, of which three in five days are."""
+    other = lambda day: feistel_number(day, DAYS, key, "date")
+    date = lambda day: F.date_add(F.lit(FIRST_DAY).cast("date"), day.cast("int"))
+    if "month" not in kind:
+        return F.date_format(date(other(_day(m, parse))), parse)
+    walked = F.aggregate(
+        F.sequence(F.lit(1), F.lit(80)),
+        _day(m, parse),
+        lambda day, i: F.when((i > 1) & (F.dayofmonth(date(day)) > 12), day).otherwise(other(day)),
+    )
+    return F.date_format(date(walked), parse)
 
 
 def _address(m: Column, key: str) -> Column:
@@ -174,36 +251,33 @@ def _ssn(m: Column, key: str) -> Column:
 def kind_of(m: Column) -> Column:
     """What a candidate is, once validated; null if it is none."""
     whole = lambda pattern: F.regexp_like(m, F.lit(f"^(?:{pattern})$"))
-    digits = digits_of(m)
+    kind = F.when(F.contains(m, F.lit("@")), "email").when(whole(ADDRESS), "ipv4")
+    for name, pattern, parse in DATES:
+        kind = kind.when(whole(pattern) & _day(m, parse).isNotNull(), name)
     return (
-        F.when(F.contains(m, F.lit("@")), "email")
-        .when(whole(ADDRESS), "ipv4")
-        .when(whole(ISO_DATE) & _date(m, "yyyy-MM-dd", "").isNotNull(), "date")
-        .when(whole(r"[0-9]{2}/[0-9]{2}/[0-9]{4}") & _date(m, "dd/MM/yyyy", "").isNotNull(), "date/")
-        .when(whole(r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}") & _date(m, "dd.MM.yyyy", "").isNotNull(), "date.")
-        .when(whole(SSN_TEXT) & _ssn(m, "").isNotNull(), "ssn")
+        kind.when(whole(SSN_TEXT) & _ssn(m, "").isNotNull(), "ssn")
         .when(whole(PHONE), "phone")
-        .when(whole(CARD) & (luhn_sum(digits, 1) % 10 == 0), "card")
+        .when(whole(RUN) & (_cards(m, "")["n"] > 0), "card")
     )
 
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
+    """out and n: m with pseudonyms, and how many."""
     head = F.regexp_extract(m, r"^(\+[0-9]{1,3}|)", 1)
     tail = F.regexp_extract(m, r"(\.[A-Za-z]+)$", 1)
-    return (
-        F.when(kind == "email", F.concat(feistel_text(F.substr(m, F.lit(1), F.length(m) - F.length(tail)), key, "email"), tail))
-        .when(kind == "ipv4", _address(m, key))
-        .when(kind == "date", _date(m, "yyyy-MM-dd", key))
-        .when(kind == "date/", _date(m, "dd/MM/yyyy", key))
-        .when(kind == "date.", _date(m, "dd.MM.yyyy", key))
+    other = F.when(kind == "email", F.concat(feistel_text(F.substr(m, F.lit(1), F.length(m) - F.length(tail)), key, "email"), tail))
+    for name, _, parse in DATES:
+        other = other.when(kind == name, _date(m, name, parse, key))
+    other = (
+        other.when(kind == "ipv4", _address(m, key))
         .when(kind == "ssn", _ssn(m, key))
         .when(
             kind == "phone",
             F.concat(head, laid_out(F.substr(m, F.length(head) + 1), feistel_text(digits_of(F.substr(m, F.length(head) + 1)), key, "phone"))),
         )
-        .when(kind == "card", _card(m, key))
         .otherwise(m)
     )
+    return F.when(kind == "card", _cards(m, key)).otherwise(F.struct(other.alias("out"), kind.isNotNull().cast("int").alias("n")))
 
 
 def pseudonymise(docs: DataFrame, key: str = "loomframe") -> DataFrame:
@@ -211,7 +285,8 @@ def pseudonymise(docs: DataFrame, key: str = "loomframe") -> DataFrame:
     every row.
 
     A candidate that fails validation stays as it is, as does all other text. A null text stays
-    null with nothing replaced. Day-first dates are read as day, month, year. Rows are treated each
+    null with nothing replaced. Dates with slashes are read as day, month, year if there is such a
+    day, else as month, day, year. Rows are treated each
     by itself: no shuffle, and copies and repeated rows come out alike. Columns other than doc_id
     and text are ignored.
     """
@@ -232,10 +307,8 @@ def pseudonymise(docs: DataFrame, key: str = "loomframe") -> DataFrame:
             ),
             lambda x: F.struct(
                 x["match"]["kind"].alias("kind"),
-                F.concat(
-                    x["before"],
-                    F.when(x["match"].isNull(), "").otherwise(pseudonym(x["match"]["m"], x["match"]["kind"], key)),
-                ).alias("out"),
+                x["before"].alias("before"),
+                F.when(x["match"].isNotNull(), pseudonym(x["match"]["m"], x["match"]["kind"], key)).alias("new"),
             ),
         ),
     )
@@ -243,9 +316,9 @@ def pseudonymise(docs: DataFrame, key: str = "loomframe") -> DataFrame:
     kinds = F.filter(F.col("parts.kind"), lambda k: k.isNotNull())
     return parts.select(
         "doc_id",
-        F.when(F.col("parts").isNull(), text).otherwise(F.array_join("parts.out", "")).alias("text"),
-        F.coalesce(F.size(kinds), F.lit(0)).cast("long").alias("n_replaced"),
+        F.when(F.col("parts").isNull(), text).otherwise(F.array_join(F.transform("parts", lambda p: F.concat(p["before"], F.coalesce(p["new"]["out"], F.lit("")))), "")).alias("text"),
+        F.coalesce(F.aggregate("parts", F.lit(0), lambda n, p: n + F.coalesce(p["new"]["n"], F.lit(0))), F.lit(0)).cast("long").alias("n_replaced"),
         F.coalesce(
-            F.array_join(F.array_sort(F.array_distinct(F.transform(kinds, lambda k: F.regexp_replace(k, "[./]", "")))), ","), F.lit("")
+            F.array_join(F.array_sort(F.array_distinct(F.transform(kinds, lambda k: F.regexp_replace(k, "[./].*", "")))), ","), F.lit("")
         ).alias("kinds"),
     )

@@ -508,6 +508,27 @@ def test_pseudonyms(docs):
     assert {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs, key="other").collect()}[111] != one["text"]
 
 
+def test_more_ways_to_write_personal_data(spark):
+    phones = ["555-123-4567", "+1-555-123-4567", "+1.555.123.4567", "+44 20 7946 0958", "+33 1 23 45 67 89", "+49 30 1234567", "020 7946 0958", "+44 (0)20 7946 0958"]
+    dates = ["03/25/1990", "3/4/1990", "2021/03/25", "12/31/1999", "3/25/1990"]
+    cards = ["order 12 4111 1111 1111 1111", "id 17 4111111111111111", "7 1234 4111-1111-1111-1111 99", "4111 1111 1111 1111 5500 0000 0000 0004"]
+    plain = ["1 2 3 4 5 6 7 8 9 10 11 12 13", "31/31/1990", "see 4111 1111 1111 1112 x", "9" * 20000]
+    texts = [f"so {x} it is" for x in phones + dates + cards + plain]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r for r in sorted(pii.pseudonymise(df).collect())]
+    form = lambda t: re.sub("[0-9]", "0", t)
+    for r, old in zip(got, texts, strict=True):
+        i = r["doc_id"]
+        kind = "phone" if i < 8 else "date" if i < 13 else "card" if i < 17 else ""
+        assert r["kinds"] == kind and r["n_replaced"] == (2 if i == 16 else kind != ""), (old, r)
+        assert (r["text"] != old) == (kind != "") and (kind == "date" or form(r["text"]) == form(old)), (old, r)
+    assert [int(got[i]["text"].split("/")[1]) > 12 for i in (8, 11, 12)] == [True] * 3
+    assert got[13]["text"].startswith("so order 12 ") and got[14]["text"].startswith("so id 17 ") and got[15]["text"].endswith(" 99 it is")
+    for i, n in ((13, -16), (14, -16), (16, 32)):
+        digits = re.sub("[^0-9]", "", got[i]["text"])
+        assert luhn(digits[-16:]) and (n < 0 or luhn(digits[:16]))
+
+
 def test_permutations(spark):
     n = 27 * 37
     got = spark.range(n).select(pii.feistel_number(F.col("id"), (27, 37), "k", "x")).collect()
