@@ -486,6 +486,20 @@ def test_frequent_lines_go_and_depleted_documents_too(spark):
     assert 90 not in out and "log in" not in out[1] and out[0].count("\n") == 2 and len(out) == 110
 
 
+def test_the_limits_in_production(spark):
+    """The registered limits at work: 31 documents of a host hold the line, on another only 30."""
+    rng = random.Random(6)
+    own = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    out = [(i, "Log in  here\n" + own(), "h1") for i in range(30)]
+    out.append((30, "\n".join(["log in here"] * 30) + "\n" + own(), "h1"))
+    out += [(100 + i, "Log in here\n" + own(), "h2") for i in range(30)]
+    df = spark.createDataFrame(out, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    assert all(got[i]["removed_words"] == 3 and got[i]["kept"] for i in range(30))
+    assert got[30]["removed_words"] == 90 and not got[30]["base_failed"] == got[30]["kept"]
+    assert all(got[100 + i]["removed_words"] == 0 and got[100 + i]["kept"] for i in range(30))
+
+
 # ---------------------------------------------------------------- 9 pseudonyms
 
 
