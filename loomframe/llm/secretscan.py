@@ -51,12 +51,18 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{12,}"),
     Rule("hex", r"[0-9a-f]{32,}"),
 )
+# To the END line; if that is missing, headers and lines of base64, of which the last may be short.
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:\s+(?:Proc-Type|DEK-Info):[^\r\n]*+)*+(?:(?:\\[rn]|\s)*+[A-Za-z0-9+/]{40,}+={0,2}+)*+"
+    r"(?:(?:(?:\\[rn]|[\r\n])++[A-Za-z0-9+/]++={0,2}+(?![^\r\n\\\"'])|\s[A-Za-z0-9+/]++={1,2}+))?+)"
+)
 # Further rules.
 MORE_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", PEM),
     Rule("slack", r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
 )
 RULES = BASE_RULES + MORE_RULES
@@ -241,16 +247,51 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[REDACTED]") -> DataFrame:
-    """docs with mark in place of every secret in text, rule by rule; other columns as they are.
-    Null texts stay null, and texts without a secret are unchanged."""
+    """docs with mark in place of every secret in text, and one mark for secrets of several rules that
+    overlap; other columns as they are. All are looked for in the text as it was. Null texts stay
+    null, and texts without a secret are unchanged."""
     todo = unused(docs.columns, "todo")
-    marked = with_rules(docs, rules, todo)
+    hits = unused([*docs.columns, todo], "hits")
+    text = F.col("text")
+    met = [F.when(F.array_contains(todo, n) & F.regexp_like(text, F.lit(r.pattern)), F.lit(n)) for n, r in enumerate(rules)]
+    marked = with_rules(docs, rules, todo).withColumn(hits, F.array_compact(F.array(*met)))
+    out = F.when(F.size(hits) > 1, _redacted_all(text, F.col(hits), rules, mark))
     for n, rule in enumerate(rules):
-        marked = marked.withColumn("text", _redacted(F.col("text"), F.array_contains(todo, n), rule, mark))
-    return marked.select(*quoted(docs.columns))
+        out = out.when(F.array_contains(hits, n), _redacted(text, rule, mark))
+    return marked.withColumn("text", out.otherwise(text)).select(*quoted(docs.columns))
+
+
+def _redacted_all(text: Column, hits: Column, rules: tuple[Rule, ...], mark: str) -> Column:
+    """text with mark in place of the union of the rules' spans; spans that only touch stay apart."""
+    kind = "array<struct<start:int,end:int>>"
+
+    def spans(rule: Rule) -> Column:
+        zipped = F.arrays_zip(
+            F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x)).alias("before"),
+            F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), lambda x: F.length(x)).alias("length"),
+            F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda x: F.length(x)).alias("deciding"),
+        )
+
+        def step(s: Column, x: Column) -> Column:
+            start = s["at"] + x["before"]
+            end = start + F.coalesce(x["length"], F.lit(0))
+            one = F.array(F.struct(start.alias("start"), end.alias("end"))).cast(kind)
+            return F.struct(end.alias("at"), F.when(x["deciding"] >= rule.least, F.concat(s["out"], one)).otherwise(s["out"]).alias("out"))
+
+        return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda s: s["out"])
+
+    every = F.array_sort(F.flatten(F.array(*[F.when(F.array_contains(hits, n), spans(r)).otherwise(F.array().cast(kind)) for n, r in enumerate(rules)])))
+
+    def join(s: Column, x: Column) -> Column:
+        """at: the end of what out covers."""
+        new = F.concat(s["out"], F.array(F.substr(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark)))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when((x["start"] >= s["at"]), new).otherwise(s["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(every, start, join, lambda s: F.array_join(F.concat(s["out"], F.array(F.substr(text, s["at"] + 1))), ""))
 
 
-def _redacted(text: Column, wanted: Column, rule: Rule, mark: str) -> Column:
+def _redacted(text: Column, rule: Rule, mark: str) -> Column:
     pattern = F.lit(rule.pattern)
     zipped = F.arrays_zip(
         F.split(text, rule.pattern, -1).alias("before"),
@@ -262,5 +303,4 @@ def _redacted(text: Column, wanted: Column, rule: Rule, mark: str) -> Column:
         shown = F.when(x["match"].isNull(), "").when(F.length(x["deciding"]) >= rule.least, mark).otherwise(x["match"])
         return F.concat(x["before"], shown)
 
-    hit = wanted & F.regexp_like(text, pattern)
-    return F.when(hit, F.array_join(F.transform(zipped, put), "")).otherwise(text)
+    return F.array_join(F.transform(zipped, put), "")

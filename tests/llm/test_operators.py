@@ -407,6 +407,21 @@ def test_redaction(docs):
     assert secretscan.redact(docs).columns == docs.columns
 
 
+def test_private_keys_go_with_their_bodies(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "x9" * 24] * 20 + ["Qz0+/aB="])
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [
+        f"a {begin}\n{body}\n{end} z", f"a secret = {begin}\n{body}\n{end} z", f"a {begin}\n{body}\nthe rest z",
+        f"a {begin}\nProc-Type: 4,ENCRYPTED\n\n{body}\n{end} z", f"a {begin} z", f"a {begin} {body} z".replace("\n", " "),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    m = "[REDACTED]"
+    out = [r["text"] for r in sorted(secretscan.redact(df).collect())]
+    assert out == [f"a {m} z", f"a {m} z", f"a {m}\nthe rest z", f"a {m} z", f"a {m} z", f"a {m} z"]
+    for r in secretscan.digest(secretscan.scan(df)).collect():
+        assert r["spans"] == ",".join(spans(texts[r["doc_id"]]))
+
+
 # ---------------------------------------------------------------- 7 decontamination
 
 
