@@ -48,7 +48,9 @@ TAG_PHRASES = ("spdx license identifier", "license expression")
 PERMISSIVE = {"mit", "apache", "bsd", "isc", "cc0", "unlicense", "zlib", "bsl", "0bsd", "cc"}
 
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-_TAG = re.compile(rb"(?:spdx[-_ ]license[-_ ]identifier|license[-_ ]expression)\s*[:=]\s*([^\n\r]*)")
+_HEAD = rb"(?:spdx[-_ ]license[-_ ]identifier|license[-_ ]expression)\s*[:=]"
+#: An expression ends with its line, or before the next tag.
+_TAG = re.compile(_HEAD + rb"\s*((?:(?!" + _HEAD + rb")[^\n\r])*)")
 _PART = re.compile(r"[()]|[a-z0-9][a-z0-9.+:_-]*")
 
 

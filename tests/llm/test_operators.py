@@ -211,6 +211,11 @@ def test_expressions():
     assert licences.evaluate("and or") is None and licences.evaluate("MIT and (b").labels == {"mit"}
 
 
+def test_tags_on_one_line():
+    found = licences.scan_text(b"/* SPDX-License-Identifier: MIT */ a() /* SPDX-License-Identifier: GPL-2.0-only */")
+    assert found["labels"] == "gpl,mit" and found["n_expressions"] == 2 and found["permissive"] is False
+
+
 # ---------------------------------------------------------------- 4 near duplicates
 
 
