@@ -280,6 +280,10 @@ query("agg_18_quantile", "SELECT round(quantile_cont(value, 0.95), 4) AS q FROM
 query("agg_19_product", "SELECT round(product(1 + l_tax / 1000), 4) AS p FROM lineitem WHERE l_orderkey < 100")(
     lambda t: (f := t.lineitem.query("l_orderkey < 100").eval("x = 1 + l_tax / 1000")).df.agg(f.stat("x", "prod").alias("p"))
 )
+# Over the whole table; about the mean tax, so that the product stays small at every size.
+query("agg_19_product_whole", "SELECT round(product(1 + (l_tax - 0.04) / 1000), 4) AS p FROM lineitem")(
+    lambda t: (f := t.lineitem.eval("x = 1 + (l_tax - 0.04) / 1000")).df.agg(f.stat("x", "prod").alias("p"))
+)
 query("agg_20_nunique", "SELECT count(DISTINCT o_custkey) AS o_custkey, count(DISTINCT o_orderstatus) AS o_orderstatus FROM orders")(lambda t: t.orders.select("o_custkey", "o_orderstatus").col_nunique_df())
 query("agg_22_skew_kurt", "SELECT round(skewness(o_totalprice), 4) AS s, round(kurtosis(o_totalprice), 4) AS k, round(stddev_samp(o_totalprice) / sqrt(count(o_totalprice)), 4) AS e FROM orders")(
     lambda t: t.orders.df.agg(t.orders.stat("o_totalprice", "skew").alias("s"), t.orders.stat("o_totalprice", "kurt").alias("k"), t.orders.stat("o_totalprice", "sem").alias("e"))
@@ -434,6 +438,9 @@ query("rsh_01_pivot_count", "SELECT o_orderstatus, count(o_orderkey) FILTER (o_o
 query("rsh_02_pivot", "SELECT n_regionkey, max(n_name) FILTER (n_nationkey % 5 = 0) AS \"0\", max(n_name) FILTER (n_nationkey % 5 = 1) AS \"1\" FROM nation WHERE n_nationkey < 2 GROUP BY 1")(
     lambda t: Frame(t.nation.df.where("n_nationkey < 2").withColumn("m", C("n_nationkey") % 5)).pivot("n_regionkey", "m", "n_name")
 )
+query("rsh_02_pivot_whole", "SELECT n_nationkey, " + ", ".join(f'max(n_name) FILTER (n_regionkey = {i}) AS "{i}"' for i in range(5)) + " FROM nation GROUP BY 1")(
+    lambda t: t.nation.pivot("n_nationkey", "n_regionkey", "n_name")
+)
 query("rsh_03_melt", "SELECT s_suppkey, 'n' AS variable, s_nationkey::DOUBLE AS value FROM supplier UNION ALL SELECT s_suppkey, 's_acctbal', s_acctbal FROM supplier")(
     lambda t: t.supplier.rename_columns({"s_nationkey": "n"}).melt(["s_suppkey"], ["n", "s_acctbal"])
 )
@@ -509,6 +516,9 @@ query(
 query("sql_01_select_list", "SELECT o_orderkey, o_totalprice * 2.0 AS twice, o_orderstatus AS st FROM orders WHERE o_orderkey < 50")(
     lambda t: run_sql("SELECT o_orderkey, o_totalprice * 2 AS twice, o_orderstatus AS st FROM this WHERE o_orderkey < 50", this=t.orders)
 )
+query("sql_01_select_list_whole", "SELECT o_orderkey, o_totalprice * 2.0 AS twice, o_orderstatus AS st FROM orders")(
+    lambda t: run_sql("SELECT o_orderkey, o_totalprice * 2 AS twice, o_orderstatus AS st FROM this", this=t.orders)
+)
 query("sql_05_aggregates", "SELECT o_orderstatus, round(avg(o_totalprice), 4) AS avg_o_totalprice, round(median(o_totalprice), 4) AS med, round(stddev_samp(o_totalprice), 4) AS sd, count(DISTINCT o_custkey) AS nunique_o_custkey FROM orders GROUP BY 1")(
     lambda t: run_sql("SELECT o_orderstatus, avg(o_totalprice), median(o_totalprice) AS med, std(o_totalprice) AS sd, nunique(o_custkey) FROM ${o} GROUP BY o_orderstatus", t.orders)
 )
@@ -587,6 +597,7 @@ query("src_05_tsv", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM suppl
 query("src_07_json", "SELECT * FROM part")(lambda t: _round_trip(t, t.part, "json", lines=True, schema=t.part.df.schema))
 query("src_07_json_split", "SELECT n_nationkey, n_name, n_regionkey FROM nation")(lambda t: _json_split(t))
 query("src_09_json_normalize", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id < 500")(lambda t: _normalized(t))
+query("src_09_json_normalize_whole", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")(lambda t: _normalized(t, None))
 query("src_10_excel", "SELECT n_nationkey, n_name, n_regionkey FROM nation")(lambda t: _round_trip(t, t.nation, "xlsx"))
 query("src_13_html", "SELECT n_nationkey, n_name, n_regionkey FROM nation")(lambda t: _round_trip(t, t.nation, "html"))
 query("src_15_xml", "SELECT r_name, r_regionkey::BIGINT AS r_regionkey FROM region")(lambda t: _round_trip(t, t.region, "xml"))
@@ -622,10 +633,11 @@ def _json_split(t: Tables):
     return read_json(t.spark, path, "split")
 
 
-def _normalized(t: Tables):
+def _normalized(t: Tables, below: int | None = 500):
     from loomframe.sources.jsons import json_normalize
 
-    rows = t.events.df.where("event_id < 500").select(F.to_json(F.struct("event_id", F.from_json("props", "k bigint").alias("p"))).alias("v"))
+    events = t.events.df if below is None else t.events.df.where(C("event_id") < below)
+    rows = events.select(F.to_json(F.struct("event_id", F.from_json("props", "k bigint").alias("p"))).alias("v"))
     return json_normalize(rows, "v", schema="event_id bigint, p struct<k: bigint>").rename_columns({"p.k": "k"})
 
 
