@@ -393,6 +393,9 @@ query("win_16_sql_windows", "SELECT o_orderkey, row_number() OVER (PARTITION BY
 query("sort_01_sort_by", f"SELECT event_id, v, e FROM ({_NULLS}) ORDER BY e DESC NULLS LAST, v NULLS LAST, event_id LIMIT 500")(
     lambda t: with_nulls(t).sort_by(["e", "v"], [False, True]).df.limit(500).select("event_id", "v", "e")
 )
+query("sort_01_sort_by_whole", f"SELECT event_id, v, e FROM ({_NULLS}) ORDER BY e DESC NULLS LAST, v NULLS LAST, event_id")(
+    lambda t: with_nulls(t).sort_by(["e", "v"], [False, True]).select("event_id", "v", "e")
+)
 query("sort_04_sort_indices", "SELECT n_nationkey::BIGINT AS position FROM nation")(lambda t: t.nation.sort_indices("n_name", False))
 query("sort_05_nlargest", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")(lambda t: t.orders.nlargest(15, "o_totalprice"))
 query("sort_05_nsmallest", "SELECT * FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 15")(lambda t: t.orders.nsmallest(15, "o_totalprice"))
@@ -448,6 +451,7 @@ query("rsh_05_transpose", "SELECT 'r_regionkey' AS _index, '0' AS \"0\", '1' AS
     lambda t: t.region.transpose()
 )
 query("rsh_06_explode", "SELECT vec_id, unnest(embedding[1:3]) AS x FROM embeddings")(lambda t: Frame(t.embeddings.df.select("vec_id", F.slice("embedding", 1, 3).alias("x"))).explode("x"))
+query("rsh_06_explode_whole", "SELECT vec_id, unnest(embedding) AS x FROM embeddings")(lambda t: Frame(t.embeddings.df.select("vec_id", C("embedding").alias("x"))).explode("x"))
 
 # ---------------------------------------------------------------- scalar functions
 
