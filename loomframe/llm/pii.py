@@ -5,13 +5,21 @@ IPv4 addresses), calendar dates and e-mail addresses are replaced by keyed Feist
 their own format: a card stays a card with a valid check digit, a date a date written alike. The
 permutation depends on the key and the format only, so equal values keep one pseudonym in every
 document, and different values of a format never share one.
+
+The plan holds a subkey derived from the key, as a literal KEY_MARK and 64 hexadecimal digits: set
+spark.sql.redaction.string.regex to that form to keep it out of event logs and shown plans.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+KEY_MARK = "loomframe-pii:"
+
 ROUNDS = 10
 #: Days of the 400-year cycle of the calendar, from 1800-01-01: 27 * 5411 of them.
 DAYS = (27, 5411)
@@ -19,8 +27,11 @@ FIRST_DAY = "1800-01-01"
 #: Area and group numbers that are given out, and serial numbers.
 SSN = (898 * 99, 9999)
 
+# Possessive repeats where nothing is ever given back, and at most 127 labels in a domain: Java's
+# matcher then takes no stack for the parts of a long dotted name.
+
 # Patterns of candidates, in the order in which they are tried at one place.
-EMAIL = r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,126}\.[A-Za-z]{2,}"
 ADDRESS = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}"
 ISO_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 SSN_TEXT = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
@@ -64,6 +75,17 @@ ANY = "|".join(
 )
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _subkey(key: str) -> str:
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    return KEY_MARK + hashlib.sha256(b"pseudonyms\0" + key.encode()).hexdigest()
+
+
 def _prf(key: str, *parts: Column) -> Column:
     """64 hexadecimal digits."""
     return F.sha2(F.concat_ws("|", F.lit(key), *parts), 256)
@@ -115,10 +137,10 @@ def feistel_text(text: Column, key: str, kind: str) -> Column:
     start = F.struct(F.substr(text, F.lit(1), half).alias("l"), F.substr(text, half + 1).alias("r"))
 
     def turn(s: Column, i: Column) -> Column:
-        by_r = _prf(key, F.lit(kind), i.cast("string"), s["r"])
-        by_l = _prf(key, F.lit(kind), i.cast("string"), s["l"])
-        return F.when(i % 2 == 1, F.struct(_shifted(s["l"], by_r).alias("l"), s["r"].alias("r"))).otherwise(
-            F.struct(s["l"].alias("l"), _shifted(s["r"], by_l).alias("r"))
+        by = lambda side: _prf(key, F.lit(kind), i.cast("string"), s[side])
+        left, right = bound(by("r"), lambda d: _shifted(s["l"], d)), bound(by("l"), lambda d: _shifted(s["r"], d))
+        return F.when(i % 2 == 1, F.struct(left.alias("l"), s["r"].alias("r"))).otherwise(
+            F.struct(s["l"].alias("l"), right.alias("r"))
         )
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.concat(s["l"], s["r"]))
@@ -161,42 +183,74 @@ def _card(m: Column, key: str) -> Column:
     return laid_out(m, F.concat(payload, check))
 
 
-def _cards(m: Column, key: str) -> Column:
-    """out and n: a run of numbers with pseudonyms for its n cards. A number counts as a card in a
+def _joined(groups: Column, start: Column, end: Column) -> Column:
+    """Groups from place start, before place end. Not by slice(), which copies the whole array."""
+    places = F.when(start < end, F.sequence(start, end - 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_join(F.transform(places, lambda i: F.element_at(groups, i)), "")
+
+
+def _cards(groups: Column) -> Column:
+    """place and number of the groups of each card in a run of numbers. A number counts as a card in a
     usual grouping wherever in the run it starts; in any other grouping as the longest one from the
     run's start, or from the end of the last such try, that does not reach into one of the former."""
-    groups = F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0))
-    text = lambda s, i, n: F.array_join(F.slice(s["groups"], i, n), "")
+    text = lambda i, n: _joined(groups, i, i + n)
     valid = lambda t: luhn_sum(digits_of(t), 1) % 10 == 0
-    to_end = lambda s, i, most: F.sequence(F.lit(1), F.least(F.lit(most), F.size(s["groups"]) - i + 1))
-
-    def usual(s: Column, i: Column) -> Column:
-        return F.filter(
-            to_end(s, i, 5), lambda n: F.regexp_like(F.regexp_replace(text(s, i, n), "[ -]$", ""), F.lit(f"^(?:{CARD})$")) & valid(text(s, i, n))
-        )
-
-    def other(s: Column, i: Column) -> Column:
-        fits = F.filter(to_end(s, i, 19), lambda n: F.length(digits_of(text(s, i, n))).between(13, 19))
-        return F.coalesce(F.array_max(fits), F.lit(1))
-
-    def turn(s: Column, i: Column) -> Column:
-        """at: the next group to write; tried: the next one that may start another grouping."""
-        n, long = F.get(usual(s, i), F.lit(0)), other(s, i)
-        clear = ~F.exists(F.sequence(i, i + long - 1), lambda j: F.size(usual(s, j)) > 0)
-        is_other = (s["tried"] <= i) & F.length(digits_of(text(s, i, long))).between(13, 19) & clear & valid(text(s, i, long))
-
-        def state(out: Column, at: Column, tried: Column, n: Column) -> Column:
-            return F.struct(s["groups"].alias("groups"), F.concat(s["out"], out).alias("out"), at.cast("int").alias("at"), tried.cast("int").alias("tried"), n.cast("int").alias("n"))
 
-        return (
-            F.when(s["at"] > i, s)
-            .when(n.isNotNull(), state(_card(text(s, i, n), key), i + n, i + n, s["n"] + 1))
-            .when(is_other, state(_card(text(s, i, long), key), i + long, i + long, s["n"] + 1))
-            .otherwise(state(F.element_at(s["groups"], i), i + 1, F.when(s["tried"] <= i, i + long).otherwise(s["tried"]), s["n"]))
+    def usual(sizes: Column, i: Column) -> Column:
+        """The fewest groups from i that are a card in a usual grouping."""
+        shaped = lambda t: F.regexp_like(F.regexp_replace(t, "[ -]$", ""), F.lit(f"^(?:{CARD})$"))
+        to_end = F.sequence(F.lit(1), F.least(F.lit(5), F.size(groups) - i + 1))
+        found = F.filter(to_end, lambda n: bound(text(i, n), lambda t: shaped(t) & valid(t)))
+        first = F.element_at(sizes, i)
+        return F.when((first == 4) | (first >= 13), F.get(found, F.lit(0)))
+
+    def other(sizes: Column, i: Column) -> Column:
+        """The most groups from i that hold 13 to 19 digits; 0 if none do."""
+        step = lambda s, n: bound(
+            s["sum"] + F.get(sizes, i + n - 2), lambda sum: F.struct(sum.alias("sum"), F.when(sum.between(13, 19), n).otherwise(s["n"]).alias("n"))
         )
+        to_end = F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i + 1))
+        return F.aggregate(to_end, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n")), step, lambda s: s["n"])
+
+    def walk(seen: Column) -> Column:
+        def turn(s: Column, i: Column) -> Column:
+            """at: the next group to read; tried: the next one that may start another grouping."""
+            n, long = F.element_at(seen, i)["usual"], F.element_at(seen, i)["other"]
+            card = lambda n: F.concat(s["cards"], F.array(F.struct(i.alias("i"), n.cast("int").alias("n"))))
+            state = lambda cards, at, tried: F.struct(cards.alias("cards"), at.alias("at"), tried.alias("tried"))
+            clear = ~F.exists(F.sequence(i, i + long - 1), lambda j: F.element_at(seen, j)["usual"].isNotNull())
+            return (
+                F.when(s["at"] > i, s)
+                .when(n.isNotNull(), state(card(n), i + n, i + n))
+                .when((s["tried"] <= i) & (long > 0) & clear & valid(text(i, long)), state(card(long), i + long, i + long))
+                .otherwise(state(s["cards"], i + 1, F.when(s["tried"] <= i, i + F.greatest(long, F.lit(1))).otherwise(s["tried"])))
+            )
+
+        start = F.struct(F.array().cast("array<struct<i:int,n:int>>").alias("cards"), F.lit(1).alias("at"), F.lit(1).alias("tried"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, turn, lambda s: s["cards"])
+
+    def look(sizes: Column) -> Column:
+        each = lambda i: F.struct(usual(sizes, i).alias("usual"), other(sizes, i).alias("other"))
+        return bound(F.transform(F.sequence(F.lit(1), F.size(groups)), each), walk)
+
+    return bound(F.transform(groups, lambda g: F.length(F.rtrim(g, F.lit(" -")))), look)
+
+
+def _with_cards(m: Column, key: str) -> Column:
+    """out and n: a run of numbers with pseudonyms for its n cards."""
+
+    def put(groups: Column, cards: Column) -> Column:
+        def piece(c: Column, k: Column) -> Column:
+            last = F.get(cards, k - 1)
+            before = _joined(groups, F.coalesce(last["i"] + last["n"], F.lit(1)), c["i"])
+            return F.concat(before, bound(_joined(groups, c["i"], c["i"] + c["n"]), lambda m: _card(m, key)))
+
+        last = F.get(cards, F.size(cards) - 1)
+        rest = _joined(groups, F.coalesce(last["i"] + last["n"], F.lit(1)), F.size(groups) + 1)
+        return F.struct(F.concat(F.array_join(F.transform(cards, piece), ""), rest).alias("out"), F.size(cards).alias("n"))
 
-    start = F.struct(groups.alias("groups"), F.lit("").alias("out"), F.lit(1).alias("at"), F.lit(1).alias("tried"), F.lit(0).alias("n"))
-    return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, turn, lambda s: F.struct(s["out"].alias("out"), s["n"].alias("n")))
+    groups = F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0))
+    return bound(groups, lambda g: bound(_cards(g), lambda c: put(g, c)))
 
 
 def _day(m: Column, parse: str) -> Column:
@@ -249,7 +303,8 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def kind_of(m: Column) -> Column:
-    """What a candidate is, once validated; null if it is none."""
+    """What a candidate is, once validated; null if it is none. A run of numbers is card, whether or
+    not pseudonym() finds one in it."""
     whole = lambda pattern: F.regexp_like(m, F.lit(f"^(?:{pattern})$"))
     kind = F.when(F.contains(m, F.lit("@")), "email").when(whole(ADDRESS), "ipv4")
     for name, pattern, parse in DATES:
@@ -257,7 +312,7 @@ def kind_of(m: Column) -> Column:
     return (
         kind.when(whole(SSN_TEXT) & _ssn(m, "").isNotNull(), "ssn")
         .when(whole(PHONE), "phone")
-        .when(whole(RUN) & (_cards(m, "")["n"] > 0), "card")
+        .when(whole(RUN), "card")
     )
 
 
@@ -277,13 +332,15 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
         )
         .otherwise(m)
     )
-    return F.when(kind == "card", _cards(m, key)).otherwise(F.struct(other.alias("out"), kind.isNotNull().cast("int").alias("n")))
+    return F.when(kind == "card", _with_cards(m, key)).otherwise(F.struct(other.alias("out"), kind.isNotNull().cast("int").alias("n")))
 
 
-def pseudonymise(docs: DataFrame, key: str = "loomframe") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs' doc_id, text with pseudonyms, n_replaced and kinds (distinct, sorted, comma-joined) of
     every row.
 
+    key is a secret of the caller's: whoever has it can undo the pseudonyms. An empty one raises.
+
     A candidate that fails validation stays as it is, as does all other text. A null text stays
     null with nothing replaced. Dates with slashes are read as day, month, year if there is such a
     day, else as month, day, year. Rows are treated each
@@ -292,6 +349,7 @@ def pseudonymise(docs: DataFrame, key: str = "loomframe") -> DataFrame:
     """
     from loomframe.llm._common import columns_of
 
+    key = _subkey(key)
     rows = columns_of(docs, "doc_id", "text")
     text = F.col("text")
     # A quick look first: every candidate holds an @ or five digits with little between them.
@@ -313,7 +371,7 @@ def pseudonymise(docs: DataFrame, key: str = "loomframe") -> DataFrame:
         ),
     )
     parts = rows.withColumn("parts", found)
-    kinds = F.filter(F.col("parts.kind"), lambda k: k.isNotNull())
+    kinds = F.transform(F.filter("parts", lambda p: p["new"]["n"] > 0), lambda p: p["kind"])
     return parts.select(
         "doc_id",
         F.when(F.col("parts").isNull(), text).otherwise(F.array_join(F.transform("parts", lambda p: F.concat(p["before"], F.coalesce(p["new"]["out"], F.lit("")))), "")).alias("text"),

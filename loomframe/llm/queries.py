@@ -49,7 +49,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_table(spark, sf_dir, "documents"))
+    """Under the key of spark.loomframe.pseudonym.key; one without secrecy where that is unset, as in tests."""
+    key = spark.conf.get("spark.loomframe.pseudonym.key", None) or "no secret"
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), key)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,7 +101,7 @@ def test_empty_tables(none, bench):
     assert quality.judge(none).count() == 0 and quality.apply_rules(none).count() == 0
     assert decontaminate.find_leaks(none, bench).count() == 0 and decontaminate.drop_contaminated(none, bench).count() == 0
     assert secretscan.scan(none).count() == 0 and secretscan.redact(none).count() == 0
-    assert pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(none, "k").count() == 0
     assert neardup.group(none).count() == 0 and neardup.drop_duplicates(none).count() == 0
     assert mixing.taken(none).count() == 0 and mixing.mixed_blocks(none).count() == 0
     assert langid.identify(none).count() == 0
@@ -529,7 +529,7 @@ def luhn(digits):
 
 
 def test_pseudonyms(docs):
-    got = {r["doc_id"]: r for r in pii.pseudonymise(docs).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs, "k").collect()}
     one, two = got[111], got[112]
     assert one["kinds"] == "card,date,email,ipv4" and one["n_replaced"] == 4
     card = re.search(r"pay (\d{4} \d{4} \d{4} \d{4}) or (\S+) by (\S+), not (\S+);", one["text"])
@@ -549,7 +549,7 @@ def test_more_ways_to_write_personal_data(spark):
     plain = ["1 2 3 4 5 6 7 8 9 10 11 12 13", "31/31/1990", "see 4111 1111 1111 1112 x", "9" * 20000]
     texts = [f"so {x} it is" for x in phones + dates + cards + plain]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = [r for r in sorted(pii.pseudonymise(df).collect())]
+    got = [r for r in sorted(pii.pseudonymise(df, "k").collect())]
     form = lambda t: re.sub("[0-9]", "0", t)
     for r, old in zip(got, texts, strict=True):
         i = r["doc_id"]
@@ -571,6 +571,88 @@ def test_permutations(spark):
     assert len({r[0] for r in got}) == 1000 and all(re.fullmatch(r"\d{3}", r[0]) for r in got)
 
 
+def plain_number(value, sizes, key, kind):
+    """The permutation by the definition, apart from the operator."""
+    a, b = sizes
+    left, right = divmod(value, b)
+    for i in range(1, 11):
+        side = right if i % 2 else left
+        by = int(hashlib.sha256("|".join([key, kind, str(i), str(side)]).encode()).hexdigest()[:15], 16)
+        left, right = ((left + by) % a, right) if i % 2 else (left, (right + by) % b)
+    return left * b + right
+
+
+def plain_text(text, key, kind):
+    def shifted(part, by):
+        out = ""
+        for i, c in enumerate(part):
+            n = int(by[i % 32 * 2 : i % 32 * 2 + 2], 16)
+            for first, size in (("0", 10), ("a", 26), ("A", 26)):
+                if 0 <= ord(c) - ord(first) < size:
+                    c = chr(ord(first) + (ord(c) - ord(first) + n) % size)
+                    break
+            out += c
+        return out
+
+    half = len(text) // 2
+    left, right = text[:half], text[half:]
+    for i in range(1, 11):
+        by = hashlib.sha256("|".join([key, kind, str(i), right if i % 2 else left]).encode()).hexdigest()
+        left, right = (shifted(left, by), right) if i % 2 else (left, shifted(right, by))
+    return left + right
+
+
+def test_pseudonyms_against_plain_permutations(spark):
+    import datetime
+
+    rng = random.Random(3)
+    key = pii.KEY_MARK + hashlib.sha256(b"pseudonyms\0k2").hexdigest()
+    first = datetime.date(1800, 1, 1)
+    rows, expected = [], []
+    for _ in range(60):
+        day = first + datetime.timedelta(rng.randrange(27 * 5411))
+        host = ".".join(str(rng.randrange(256)) for _ in range(4))
+        mail = "".join(rng.choice("abXY_1.") for _ in range(9)).strip(".").replace("..", ".") + "x@ab-c.example"
+        pay = "".join(rng.choice("0123456789") for _ in range(15))
+        pay += next(c for c in "0123456789" if luhn(pay + c))
+        area, two, four = rng.choice([*range(1, 666), *range(667, 900)]), rng.randint(1, 99), rng.randint(1, 9999)
+        rows.append(f"{day.isoformat()} {host} {mail} ; {pay} ; {area:03}-{two:02}-{four:04} ; (212) 555-{four:04}")
+        n = int.from_bytes(bytes(map(int, host.split("."))), "big")
+        other = plain_number(n, (65536, 65536), key, "ipv4").to_bytes(4, "big")
+        new_day = first + datetime.timedelta(plain_number((day - first).days, (27, 5411), key, "date"))
+        payload = plain_text(pay[:15], key, "card")
+        card = payload + next(c for c in "0123456789" if luhn(payload + c))
+        place = area - 1 - (area > 666)
+        n = plain_number((place * 99 + two - 1) * 9999 + four - 1, (898 * 99, 9999), key, "ssn")
+        area, rest = n // (99 * 9999), n % (99 * 9999)
+        digits = plain_text(f"212555{four:04}", key, "phone")
+        mail = plain_text(mail.removesuffix(".example"), key, "email") + ".example"
+        expected.append(
+            f"{new_day.isoformat()} {'.'.join(map(str, other))} {mail} ; {card} ; "
+            f"{area + 1 + (area >= 665):03}-{rest // 9999 + 1:02}-{rest % 9999 + 1:04} ; ({digits[:3]}) {digits[3:6]}-{digits[6:]}"
+        )
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = sorted(pii.pseudonymise(df, "k2").collect())
+    assert [r["text"] for r in got] == expected and {r["n_replaced"] for r in got} == {6}
+
+
+def test_long_dotted_and_numbered_texts(spark):
+    dotted = ".".join("a" for _ in range(100_000))
+    numbers = " ".join(str(i % 977) for i in range(30_000))
+    texts = [f"mail x@y.zz {dotted}", f"mail x@y.zz.{dotted}", f"{dotted}@y.zz", f"x@{dotted}", numbers, numbers + " 4111 1111 1111 1111", "x@" + "ab." * 3000 + "cd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(pii.pseudonymise(df, "k").collect())
+    assert [r["kinds"] for r in got[:4]] == ["email", "email", "email", ""] and got[6]["kinds"] == "email"
+    assert got[0]["text"].endswith(dotted) and got[1]["text"].endswith(".zz." + dotted) and got[3]["text"] == texts[3]
+    assert re.fullmatch(r"(?:[a-z]\.){99999}[a-z]@[a-z]\.zz", got[2]["text"])
+    assert luhn(got[5]["text"].replace(" ", "")[-16:]) and [len(r["text"]) for r in got] == [len(t) for t in texts]
+
+
+def test_a_key_is_needed(docs):
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs, "")
+
+
 # ---------------------------------------------------------------- 10 token counts
 
 
