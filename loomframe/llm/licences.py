@@ -110,38 +110,53 @@ def to_postfix(parts: list[str]) -> list[str]:
     return out + stack[::-1]
 
 
+def whole_prefix(parts: list[str]) -> int:
+    """How many parts the longest prefix that is an expression has, in one pass: after an operand or a
+    closing parenthesis with none open, up to the first part that cannot follow."""
+    whole = depth = 0
+    operand_next = True
+    for n, part in enumerate(parts, 1):
+        if (part == "(" or part not in PRECEDENCE and part != ")") != operand_next:
+            break
+        if part == "(":
+            depth += 1
+            continue
+        if part == ")":
+            if not depth:
+                break
+            depth -= 1
+        else:
+            operand_next = part in PRECEDENCE
+        if not depth and not operand_next:
+            whole = n
+    return whole
+
+
 def evaluate(expression: str) -> Expression | None:
     """The longest prefix that is an expression; None if there is none."""
     parts = _PART.findall(expression.lower())
-    for end in range(len(parts), 0, -1):
-        try:
-            postfix = to_postfix(parts[:end])
-        except ValueError:
+    end = whole_prefix(parts)
+    if not end:
+        return None
+    stack: list[tuple[str, Expression]] = []
+    for part in to_postfix(parts[:end]):
+        if part not in PRECEDENCE:
+            label = label_of(part)
+            stack.append((part, Expression({label}, set(), label.split("-")[0] in PERMISSIVE and "-nc" not in label)))
             continue
-        stack: list[tuple[str, Expression]] = []
-        for part in postfix:
-            if part not in PRECEDENCE:
-                label = label_of(part)
-                stack.append((part, Expression({label}, set(), label.split("-")[0] in PERMISSIVE and "-nc" not in label)))
-                continue
-            (name, right), (_, left) = stack.pop(), stack.pop()
-            if part == "with":
-                stack.append(("", Expression(left.labels, left.exceptions | {name}, left.permissive)))
-                continue
-            both = left.permissive and right.permissive
-            either = left.permissive or right.permissive
-            stack.append(
-                (
-                    "",
-                    Expression(
-                        left.labels | right.labels,
-                        left.exceptions | right.exceptions,
-                        both if part == "and" else either,
-                    ),
-                )
-            )
-        return stack[0][1]
-    return None
+        (name, right), (_, left) = stack.pop(), stack.pop()
+        if part == "with":
+            left.exceptions.add(name)
+        else:
+            # The larger sets take in the smaller ones, so that a long expression is not copied at each step.
+            both, either = left.permissive and right.permissive, left.permissive or right.permissive
+            left.labels, right.labels = sorted((left.labels, right.labels), key=len, reverse=True)
+            left.exceptions, right.exceptions = sorted((left.exceptions, right.exceptions), key=len, reverse=True)
+            left.labels |= right.labels
+            left.exceptions |= right.exceptions
+            left.permissive = both if part == "and" else either
+        stack.append(("", left))
+    return stack[0][1]
 
 
 def automaton(phrases: dict[str, tuple]):

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -216,6 +217,28 @@ def test_tags_on_one_line():
     assert found["labels"] == "gpl,mit" and found["n_expressions"] == 2 and found["permissive"] is False
 
 
+def test_longest_prefix_against_all_prefixes():
+    rng = random.Random(8)
+
+    def fits(parts):
+        try:
+            licences.to_postfix(parts)
+        except ValueError:
+            return False
+        return True
+
+    for _ in range(3000):
+        parts = [rng.choice(["a", "b", "(", ")", "and", "or", "with"]) for _ in range(rng.randint(0, 9))]
+        assert licences.whole_prefix(parts) == max((n for n in range(1, len(parts) + 1) if fits(parts[:n])), default=0), parts
+
+
+def test_a_long_tagged_line():
+    for line in (b" w" * 300_000, b" or x" * 200_000, b"".join(b" or x%d" % i for i in range(100_000)), b"(" * 300_000):
+        began = time.perf_counter()
+        found = licences.scan_text(b"SPDX-License-Identifier: MIT" + line)
+        assert found["n_expressions"] == 1 and "mit" in found["labels"].split(",") and time.perf_counter() - began < 10
+
+
 # ---------------------------------------------------------------- 4 near duplicates
 
 
@@ -465,8 +488,19 @@ def test_wu_manber_against_a_plain_search():
         size = rng.randint(1, 6)
         patterns = {tuple(rng.choice("abc").encode() for _ in range(size)): {i} for i in range(rng.randint(1, 6))}
         text = [rng.choice("abc").encode() for _ in range(60)]
-        got = sorted(decontaminate.WuManber(patterns, 3).find(text))
-        assert got == sorted((i, tuple(v)) for p, v in patterns.items() for i in range(len(text) - size + 1) if tuple(text[i : i + size]) == p)
+        got = sorted(decontaminate.WuManber([(list(p), v) for p, (v,) in patterns.items()], size, 3).find(text))
+        assert got == sorted((i, v) for p, (v,) in patterns.items() for i in range(len(text) - size + 1) if tuple(text[i : i + size]) == p)
+
+
+def test_windows_of_longer_tests_against_a_plain_search():
+    rng = random.Random(4)
+    for _ in range(100):
+        size = rng.randint(1, 12)
+        tests = [([rng.choice("abc").encode() for _ in range(size + rng.randint(0, 9))], i) for i in range(3)]
+        text = [w for t in tests for w in [*t[0], rng.choice("abc").encode()]]
+        got = sorted(decontaminate.WuManber(tests, size, 3).find(text))
+        places = [(i, v) for w, v in tests for k in range(len(w) - size + 1) for i in range(len(text) - size + 1) if text[i : i + size] == w[k : k + size]]
+        assert got == sorted(places)
 
 
 # ---------------------------------------------------------------- 8 quality
