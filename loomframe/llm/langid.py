@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from loomframe.llm._common import columns_of, id_remainder, map_bytes
 
@@ -169,33 +170,36 @@ def calibrate(model: Model, rows: list[tuple[int, bytes, str]], accuracy: float)
     return model
 
 
-def labelled_sample(docs: DataFrame, per_label: int, held_out: int, folds: int) -> list[tuple[int, bytes, str]]:
-    """At most about per_label rows of each label, drawn by a hash of the id, from the rows whose
-    crc32(doc_id) mod folds is not held_out. Ordered, so that a rerun trains the same model."""
+def labelled_sample(
+    docs: DataFrame, per_label: int, held_out: int, folds: int, text_bytes: int = 1 << 16
+) -> list[tuple[int, bytes, str]]:
+    """At most per_label distinct texts of each label, from the rows whose crc32(doc_id) mod folds is
+    not held_out: those with the least hash, of the texts of at most text_bytes. A text that is
+    repeated counts once, so the driver gets at most per_label * text_bytes a label. Ordered, so that
+    a rerun trains the same model."""
     fold = F.coalesce(id_remainder(F.col("doc_id"), folds) == held_out, F.lit(False))
-    known = docs.where(~fold & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
-    if not counts:
-        return []
-    grain = 1 << 20
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(grain))
-    shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(grain, per_label * grain // n))])
-    rows = known.where(draw < shares[F.col("lang")]).select("doc_id", F.col("text").cast("binary"), "lang").collect()
-    kept: dict[str, int] = {}
-    out = []
-    for doc_id, raw, lang in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, bytes(r[1]))):
-        kept[lang] = kept.get(lang, 0) + 1
-        if kept[lang] <= per_label * 5 // 4:
-            out.append((doc_id, bytes(raw), lang))
-    return out
+    known = docs.where(~fold & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= text_bytes))
+    draws = known.select("lang", "doc_id", F.xxhash64(F.lit("langid"), "text").alias("draw"))
+    # About twice as many as are wanted, by a limit on the hash; then exactly the least of them.
+    share = draws.groupBy(F.col("lang").alias("of")).agg((2.0 * per_label / F.approx_count_distinct("draw")).alias("share"))
+    low = F.shiftrightunsigned("draw", 11) < F.col("share") * float(1 << 53)
+    near = draws.join(share, F.col("lang") == F.col("of")).where(low).groupBy("lang", "draw").agg(F.min("doc_id").alias("doc_id"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("draw", 11), "draw"))
+    chosen = near.withColumn("place", place).where(F.col("place") <= per_label)
+    chosen = chosen.select(F.col("lang").alias("of"), F.col("draw").alias("same"), F.col("doc_id").alias("least_id"))
+    texts = known.withColumn("draw", F.xxhash64(F.lit("langid"), "text"))
+    same = (texts["lang"] == chosen["of"]) & (texts["draw"] == chosen["same"]) & texts["doc_id"].eqNullSafe(chosen["least_id"])
+    found = texts.join(chosen, same, "left_semi").dropDuplicates(["lang", "draw"])
+    rows = found.select("lang", "draw", "doc_id", F.col("text").cast("binary").alias("text")).collect()
+    return [(r["doc_id"], bytes(r["text"]), r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["draw"]))]
 
 
 def identify(docs: DataFrame, per_label: int = 300, held_out: int = 2, folds: int = 4, **training) -> DataFrame:
     """doc_id, held_out, lang_pred, score (the label's calibrated probability) and accepted (it
     reaches the threshold) of every row.
 
-    The model learns from at most about per_label labelled rows of each language, outside the held
-    out fold; it needs a number of languages that suits a driver. A text that is null or has no
+    The model learns from at most per_label distinct labelled texts of each language, of at most 64 KB
+    each, outside the held out fold; it needs a number of languages that suits a driver. A text that is null or has no
     letter gives und, score 0 and not accepted, as does every text if there is nothing to learn
     from. A null id counts as not held out. Repeated rows and extra columns do not matter.
     """

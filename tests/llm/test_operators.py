@@ -173,6 +173,51 @@ def test_language_id(docs):
     assert all(g["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2) for i, rs in got.items() for g in rs)
 
 
+def test_the_sample_is_bounded_and_of_distinct_texts(spark):
+    rows = [(i, f"text {i % 50} of some words", "en") for i in range(2000)] + [(5000 + i, f"andere {i}", "de") for i in range(7)]
+    rows += [(9000, "x " * 40_000, "de"), (9001, None, "de"), (9002, "no label", None), (None, "null id", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.labelled_sample(df, 20, 2, 4)
+    by = defaultdict(list)
+    for i, raw, lang in got:
+        by[lang].append(raw.decode())
+        assert i is None or zlib.crc32(str(i).encode()) % 4 != 2
+    assert len(set(by["en"])) == len(by["en"]) == 20 and by["fr"] == ["null id"]
+    assert set(by["de"]) == {f"andere {i}" for i in range(7) if zlib.crc32(str(5000 + i).encode()) % 4 != 2}
+    assert got == langid.labelled_sample(df.repartition(5), 20, 2, 4)
+
+
+def plain_prediction(model, raw):
+    """Labels and probabilities by the definition: the mean over subwords, one by one."""
+    fold = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
+    text = b" " + raw.translate(fold) + b" "
+    total, n = [0.0] * len(model.labels), 0
+    for size in (2, 3, 4):
+        for i in range(len(text) - size + 1):
+            part = text[i : i + size]
+            if 32 in part[1:-1] or part == b"  ":
+                continue
+            h = (int.from_bytes(part, "big") ^ (size * 0x01000193)) * 0x9E3779B1 % (1 << 32)
+            h = (h ^ (h >> 15)) * 0x85EBCA6B % (1 << 32)
+            total = [a + float(b) for a, b in zip(total, model.table[h >> (32 - model.bits)], strict=True)]
+            n += 1
+    z = [t / max(1, n) + float(b) for t, b in zip(total, model.bias, strict=True)]
+    e = [math.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
+def test_predictions_against_plain_ones(docs):
+    sample = langid.labelled_sample(docs.select("doc_id", "text", "lang"), 60, 2, 4)
+    model = langid.train(sample, epochs=2)
+    got = by_id(langid.identify(docs, per_label=60, epochs=2))
+    for r in ROWS:
+        if r[1] and any(c.isalpha() for c in r[1]) and len(r[1]) < 3000:
+            p = plain_prediction(model, r[1].encode())
+            for g in got[r[0]]:
+                assert abs(g["score"] - max(p)) < 1e-4 and abs(p[model.labels.index(g["lang_pred"])] - max(p)) < 1e-4
+                assert g["accepted"] == (g["score"] >= model.threshold)
+
+
 def test_scores_do_not_depend_on_neighbours():
     model = langid.train([(i, r[1].encode(), r[2]) for i, r in enumerate(ROWS[:90])], epochs=1)
     texts = [r[1].encode() for r in ROWS[:20]] + ["é".encode(), b"ab"]
