@@ -10,8 +10,8 @@ estimate their similarity from the population count of an XOR, and full shingle
    bucket's first. So a group of any size gives no more candidates than it has members and buckets.
    Sketches drop those that cannot be links; full sets confirm the rest; links are joined up.
 4. In buckets whose members then still lie in several components, members of different components
-   are compared in blocks, by sketch, and the plausible ones by full set, most similar first, until
-   the components meet. Only confirmed links come out. So no link between members of a bucket is
+   are compared in blocks, by sketch, and those with a plausible partner again, by full set, most
+   similar first, until the components meet. Only confirmed links come out. So no link between members of a bucket is
    lost, and no list of pairs is made.
 5. Components are the classes' connected components; every step is a join or aggregate with
    reliable checkpoints, and nothing but counters reaches the driver.
@@ -21,13 +21,14 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from loomframe.llm._common import columns_of, map_bytes, quoted, staged, unused
 
@@ -217,7 +218,9 @@ def plausible(pairs: DataFrame, classes: DataFrame, threshold: float, samples: i
 
 
 def texts_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Staged: node and text of the classes in nodes, the only texts that are shuffled."""
+    """Staged: node and text of the classes in nodes. The join deals every text of docs once, unless
+    the classes wanted are few enough to be broadcast; no text moves more often than that, but for
+    candidates."""
     wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("id"), "content")
     source = docs.select("doc_id", F.xxhash64("text").alias("content_"), "text")
     same = source["doc_id"].eqNullSafe(wanted["id"]) & (source["content_"] == wanted["content"])
@@ -278,46 +281,110 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
 
 
+def block_members(named: DataFrame, block: int) -> DataFrame:
+    """key, i, j, own, node, component: for the buckets of several components, each member in every
+    pair of blocks (i <= j) in which it is compared; own is its block. A component of block members or
+    more has blocks of its own, which are not compared with each other; the others share blocks."""
+    of_component = named.groupBy("key", "component").agg(F.count("*").alias("m"))
+    group_ = F.when(F.col("m") >= block, F.col("component"))  # null: the shared blocks
+    sizes = of_component.groupBy("key", group_.alias("large")).agg(F.sum("m").alias("m"), F.count("*").alias("kinds"))
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    before = Window.partitionBy("key").orderBy("large").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("key")
+    placed = sizes.select(
+        "key", "large", "blocks",
+        F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int").alias("first"),
+        F.sum("blocks").over(whole).cast("int").alias("all"),
+        F.sum("kinds").over(whole).alias("components"),
+        F.sum("m").over(whole).alias("n"),
+    ).where((F.col("components") > 1) & (F.col("n") > 2))
+    kept = of_component.select(F.col("key").alias("k"), F.col("component").alias("c"), group_.alias("g"))
+    placed = placed.join(kept, (placed["key"] == kept["k"]) & placed["large"].eqNullSafe(kept["g"]))
+    none = F.array().cast("array<int>")
+    upto = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(none)
+    last = F.col("all") - 1
+    others = F.when(F.col("large").isNull(), upto(F.lit(0), last)).otherwise(
+        F.concat(upto(F.lit(0), F.col("first") - 1), upto(F.col("first") + F.col("blocks"), last))
+    )
+    return (
+        named.join(placed.drop("key"), (F.col("key") == F.col("k")) & (F.col("component") == F.col("c")))
+        .withColumn("own", F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(others))
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
+    )
+
+
+def close_pairs(table: pa.Table, threshold: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of two blocks: rows a and b of each plausible pair of different components, most similar first,
+    and the members' components in small numbers."""
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    own = table.column("own").to_numpy()
+    component = np.unique(np.array(table.column("component").to_pylist(), object), return_inverse=True)[1]
+    size = table.column("n_shingles").to_numpy()
+    flat = table.column("sketch").combine_chunks().flatten().to_numpy()
+    sketch = flat.astype(np.int64).reshape(-1, SKETCH_BITS // 64).view(np.uint64)
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    a, b, bits = [], [], []
+    for x in left:
+        others = right[right > x] if i == j else right
+        fits = np.minimum(size[others], size[x]) >= threshold * np.maximum(size[others], size[x])
+        others = others[fits & (component[others] != component[x])]
+        different = np.bitwise_count(sketch[others] ^ sketch[x]).sum(axis=1)
+        near = different <= most
+        a.append(np.full(int(near.sum()), x))
+        b.append(others[near])
+        bits.append(different[near])
+    a, b, bits = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (a, b, bits))
+    order = np.lexsort((b, a, bits))
+    return a[order], b[order], component
+
+
+def by_blocks(work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable:
+    """For mapInArrow over rows sorted by key, i, j: work(table) on each pair of blocks, one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+        for batch in batches:
+            names = list(zip(*(batch.column(n).to_pylist() for n in ("key", "i", "j")), strict=True))
+            start = 0
+            for end in range(1, len(names) + 1):
+                if end < len(names) and names[end] == names[start]:
+                    continue
+                if held and names[start] != at:
+                    yield from work(pa.Table.from_batches(held))
+                    held = []
+                at = names[start]
+                held.append(batch.slice(start, end - start))
+                start = end
+        if held:
+            yield from work(pa.Table.from_batches(held))
+
+    return run
+
+
 def remaining_links(
     buckets: DataFrame, classes: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, threshold: float,
     samples: int, block: int,
 ) -> DataFrame:
     """a, b: links that join different components within a bucket, enough of them to join all that
     the bucket's links join. Buckets are compared in blocks of about block members, two at a time,
-    so a task holds two blocks whatever the bucket's size."""
-    named = with_components(buckets, labels)
-    split = (
-        named.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min("component").alias("c1"), F.max("component").alias("c2"))
-        .where((F.col("n") > 2) & (F.col("c1") != F.col("c2")))
-        .select("key", "n")
-    )
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    more = classes.select("node", "n_shingles", "sketch").join(texts, "node")
-    members = (
-        named.join(split, "key")
-        .withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
-        .join(more, "node")
-    )
+    so a task holds two blocks whatever the bucket's size.
+
+    First by sketches alone: what comes out are not pairs but the members that have a plausible partner
+    in another component, once for each pair of blocks. Only these get their texts, and are compared
+    again, by full sets, until their components meet."""
     most, percent = most_different(threshold, samples), round(threshold * 100)
+    members = block_members(with_components(buckets, labels), block)
+    members = members.join(classes.select("node", "n_shingles", "sketch"), "node")
 
-    def compare(table: pa.Table) -> tuple[list, list]:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        own = table.column("own").to_numpy()
+    def plausible_members(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        a, b, _ = close_pairs(table, threshold, most)
+        yield from table.take(np.unique(np.concatenate([a, b]))).combine_chunks().to_batches()
+
+    def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        x_rows, y_rows, component = close_pairs(table, threshold, most)
         node, raw = table.column("node").to_pylist(), table.column("text")
-        component = np.unique(np.array(table.column("component").to_pylist(), object), return_inverse=True)[1]
-        size = table.column("n_shingles").to_numpy()
-        sketch = np.array(table.column("sketch").to_pylist(), np.int64).reshape(-1, SKETCH_BITS // 64).view(np.uint64)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        close = []
-        for x in left:
-            others = right[right > x] if i == j else right
-            fits = np.minimum(size[others], size[x]) >= threshold * np.maximum(size[others], size[x])
-            others = others[fits & (component[others] != component[x])]
-            bits = np.bitwise_count(sketch[others] ^ sketch[x]).sum(axis=1)
-            close += [(int(n), int(x), int(y)) for n, y in zip(bits, others, strict=True) if n <= most]
         parent = list(range(int(component.max()) + 1))
 
         def root(c: int) -> int:
@@ -327,46 +394,31 @@ def remaining_links(
             return c
 
         sets: dict[int, set] = {}
-        a, b = [], []
-        for _, x, y in sorted(close):
+        held, a, b = 0, [], []
+        for x, y in zip(x_rows.tolist(), y_rows.tolist(), strict=True):
             p, q = root(component[x]), root(component[y])
             if p == q:
                 continue
+            if held > 2_000_000:
+                sets.clear()
+                held = 0
             for k in (x, y):
                 if k not in sets:
                     sets[k] = shingle_set(raw[k].as_py(), shingle)
+                    held += len(sets[k])
             if reaches(sets[x], sets[y], percent):
                 parent[p] = q
                 a.append(min(node[x], node[y]))
                 b.append(max(node[x], node[y]))
-        return a, b
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks one after another from the sorted rows of a task; of them all, one is held."""
-        held: list[pa.RecordBatch] = []
-        at = None
-        for batch in batches:
-            names = list(zip(*(batch.column(n).to_pylist() for n in ("key", "i", "j")), strict=True))
-            a, b, start = [], [], 0
-            for end in range(1, len(names) + 1):
-                if end < len(names) and names[end] == names[start]:
-                    continue
-                if held and names[start] != at:
-                    x, y = compare(pa.Table.from_batches(held))
-                    a, b, held = a + x, b + y, []
-                at = names[start]
-                held.append(batch.slice(start, end - start))
-                start = end
-            yield links(a, b)
-        if held:
-            yield links(*compare(pa.Table.from_batches(held)))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    def links(a: list, b: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+    def dealt(rows: DataFrame, work, schema) -> DataFrame:
+        # Many small blocks: dealt and sorted once, they cost a call each rather than a group of Spark's.
+        rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return rows.mapInArrow(by_blocks(work), schema)
 
-    # Many small blocks: dealt and sorted once, they cost a call each rather than a group of Spark's.
-    sorted_rows = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return sorted_rows.mapInArrow(run, "a binary, b binary").distinct()
+    near = staged(dealt(members, plausible_members, members.schema), "plausible")
+    return dealt(near.join(texts, "node"), links, "a binary, b binary").distinct()
 
 
 def group(
