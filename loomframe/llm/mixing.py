@@ -2,14 +2,16 @@
 
 Each source's documents, in a fixed order, are one stream of tokens that is packed into blocks of
 block_tokens. The mix is a sequence of output shards of shard_slots slots. A shard draws how many of
-its slots go to each source from a multinomial: whole expected slots outright and the rest at
-random. A source's slots, counted through all shards, map to its blocks by a pseudorandom
-permutation of the block numbers, a new one for each pass over the source, and blocks join slots by
-(source, block).
-
-Draws past a source's quota (its target in blocks) are handed, slot by slot, to sources whose
-draws fell short, so that a source takes its target to within a block and no document is taken more
-often than max_passes.
+its slots go to each source from a multinomial over the sources' quotas (their targets in blocks): each
+slot draws one of all slots' tickets, of which a source owns as many as its quota. A source's slots,
+counted through all shards, map to its blocks by a pseudorandom permutation of the block numbers, a
+new one for each pass over the source, and blocks join slots by (source, block).
+
+Draws past a source's quota are handed, slot by slot, to sources whose draws fell short, so that a
+source takes its target to within a block and no document is taken more often than max_passes.
+
+Sources may be as many as documents: sizes, targets and quotas are a table, numbered in the sources'
+order, and met by joins. The driver sees sums only.
 """
 
 from __future__ import annotations
@@ -25,24 +27,6 @@ from loomframe.llm._common import SPACE_WORD, columns_of, staged
 ROUNDS = 24
 
 
-def targets(sizes: dict, weights: dict, max_passes: float) -> dict:
-    """Tokens that each source shall give: all tokens by weight, at most max_passes times its size,
-    the excess by weight to those below. Sources fill up in the order of size over weight."""
-    left, weight = float(sum(sizes.values())), float(sum(weights.values()))
-    out = {}
-    for s in sorted(sizes, key=lambda s: (max_passes * sizes[s] / weights[s], s is None, s or "")):
-        share = left * weights[s] / weight if weight else 0.0
-        out[s] = min(share, float(max_passes * sizes[s]))
-        left, weight = left - out[s], weight - weights[s]
-    return out
-
-
-def cycled_weights(sources: list, cycle: tuple[float, ...]) -> dict:
-    """Sources in code point order, null last, weigh as cycle says, over and over."""
-    ordered = sorted((s for s in sources if s is not None)) + [None] * (None in sources)
-    return {s: float(cycle[i % len(cycle)]) for i, s in enumerate(ordered)}
-
-
 def uniform(*parts: Column) -> Column:
     """In [0, 1), from a hash of parts."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
@@ -67,19 +51,84 @@ def sized(docs: DataFrame) -> DataFrame:
     return staged(rows.select("doc_id", "source", F.xxhash64("text").alias("content"), count.alias("size")), "sizes")
 
 
-def packed(sizes: DataFrame, lanes: int) -> DataFrame:
-    """sizes with start, the offset of each row in its source's stream, ordered by a hash lane, then
-    id and text. A lane is a bounded share of a source, so no task sorts a whole source."""
+def numbered_sources(sizes: DataFrame) -> DataFrame:
+    """Staged: source, tokens, rows, part and s, its number from 0 by code points, a null last. part is
+    a range of that order, of some ten thousand sources."""
+    found = staged(sizes.groupBy("source").agg(F.sum("size").alias("tokens"), F.count("*").alias("rows")), "sources")
+    parts = 1 + found.count() // 20_000
+    ordered = found.withColumn("none", F.col("source").isNull()).repartitionByRange(parts, "none", "source")
+    ordered = staged(ordered.withColumn("part", F.spark_partition_id()), "sources")
+    place = Window.partitionBy("part").orderBy("none", "source")
+    return staged(with_sums(ordered.withColumn("one", F.lit(1).cast("long")), place, one="s").drop("one", "none"), "sources")
+
+
+def with_sums(table: DataFrame, place, **of: str) -> DataFrame:
+    """table with, for each column named, its sum over all earlier rows: of those of the same part, in
+    the window's order, and of all earlier parts."""
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = table.groupBy("part").agg(*[F.sum(n).alias(n) for n in of])
+    first = parts.select("part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"first_{n}") for n in of])
+    inside = place.rowsBetween(Window.unboundedPreceding, -1)
+    run = table.select("*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"inside_{n}") for n in of])
+    joined = run.join(first, "part")
+    sums = [(F.col(f"first_{n}") + F.col(f"inside_{n}")).alias(name) for n, name in of.items()]
+    return joined.select(*table.columns, *sums)
+
+
+def with_weights(sources: DataFrame, weights: dict | None, cycle: tuple[float, ...]) -> DataFrame:
+    """sources with weight: what weights says, or cycle over and over in their order."""
+    if weights is None:
+        return sources.withColumn("weight", F.get(F.array(*map(F.lit, cycle)), F.pmod("s", F.lit(len(cycle))).cast("int")))
+    given = sources.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "named string, weight double")
+    out = sources.join(given, sources["source"].eqNullSafe(given["named"]), "left").drop("named")
+    if not out.where(F.col("weight").isNull()).isEmpty():
+        raise ValueError("a source has no weight")
+    return out
+
+
+def with_targets(sources: DataFrame, max_passes: float) -> DataFrame:
+    """sources with target: all tokens by weight, at most max_passes times the source's own, the excess
+    by weight to those below, until none is above. A round is a sum over the sources."""
+    most, tokens, weight = F.col("tokens") * float(max_passes), F.sum("tokens"), F.sum("weight")
+    total, weights = sources.agg(tokens, weight).first()
+    left, open_weight, full = float(total or 0), float(weights or 0), None
+    while True:
+        share = F.col("weight") * left / open_weight if open_weight else F.lit(0.0)
+        above = share > most
+        n, taken, kept = sources.where(above).agg(F.count("*"), F.sum(most), F.sum("weight")).first()
+        if n == full or not n:
+            return sources.withColumn("target", F.when(above, most).otherwise(share))
+        full, left, open_weight = n, float(total) - taken, float(weights) - kept
+
+
+def with_quotas(sources: DataFrame, block_tokens: int, max_passes: int) -> DataFrame:
+    """Staged: sources with blocks, quota (slots: one is worth the source's mean block) and first, the
+    slots of all sources before."""
+    blocks = F.ceil(F.col("tokens") / block_tokens)
+    slots = F.least(F.round(F.col("target") * F.col("blocks") / F.nullif(F.col("tokens"), F.lit(0))).cast("long"), max_passes * F.col("blocks"))
+    sized = sources.withColumn("blocks", blocks).withColumn("quota", F.when(F.col("tokens") > 0, slots).otherwise(F.lit(0)))
+    return staged(with_sums(sized, Window.partitionBy("part").orderBy("s"), quota="first"), "quotas")
+
+
+def packed(sizes: DataFrame, sources: DataFrame, lanes: int) -> DataFrame:
+    """doc_id, source, content, size, s, source_size, target and start, the offset of each row in its
+    source's stream, ordered by a hash lane, then id and text. A lane is a bounded share of a source, so
+    no task sorts a whole source, and what is known of a source meets its rows lane by lane."""
     lane = F.pmod(F.xxhash64(F.lit("lane"), "doc_id", "content"), F.lit(lanes))
     laned = sizes.withColumn("lane", lane)
     sums = laned.groupBy("source", "lane").agg(F.sum("size").alias("tokens"))
     before = Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "lane", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("offset"))
+    known = sources.select(F.col("source").alias("of"), "s", F.col("tokens").alias("source_size"), "target")
+    offsets = offsets.join(known, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     inside = Window.partitionBy("source", "lane").orderBy("doc_id", "content").rowsBetween(Window.unboundedPreceding, -1)
     run = laned.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return run.alias("r").join(
         offsets.alias("o"), F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("r.lane") == F.col("o.lane"))
-    ).select("doc_id", F.col("r.source").alias("source"), "content", "size", (F.col("inside") + F.col("offset")).alias("start"))
+    ).select(
+        "doc_id", F.col("r.source").alias("source"), "content", "size", "s", "source_size", "target",
+        (F.col("inside") + F.col("offset")).alias("start"),
+    )
 
 
 def pieces(rows: DataFrame, block_tokens: int) -> DataFrame:
@@ -95,89 +144,61 @@ def pieces(rows: DataFrame, block_tokens: int) -> DataFrame:
     )
 
 
-def quotas(totals: dict, goal: dict, block_tokens: int, max_passes: int) -> dict:
-    """source -> (blocks, slots): a slot is worth the source's mean block."""
-    out = {}
-    for s, size in totals.items():
-        blocks = -(-size // block_tokens)
-        out[s] = (blocks, min(round(goal[s] * blocks / size), max_passes * blocks) if size else 0)
-    return out
-
-
-def draws(spark, plan: list[tuple], shard_slots: int, seed: int) -> DataFrame:
-    """shard, slot, source, blocks, turn: the mix's slots. plan: (source, blocks, slots) with slots.
-
-    Of a shard's slots the whole part of shard_slots * p goes to each source; each slot that is left
-    draws by the remaining fractions. turn counts a source's slots through all shards.
-    """
-    total = sum(n for _, _, n in plan)
-    shards = -(-total // shard_slots)
-    shares = [n / total for _, _, n in plan]
-    whole = [math.floor(shard_slots * p + 1e-9) for p in shares]
-    rest = [max(0.0, shard_slots * p - w) for p, w in zip(shares, whole, strict=True)]
-    open_slots = shard_slots - sum(whole)
-    edges, at = [], 0.0
-    for r in rest:
-        at += r
-        edges.append(at)
-    cumulated, at = [], 0
-    for w in whole:
-        at += w
-        cumulated.append(at)
-    fixed = F.array(*map(F.lit, cumulated))
-    limits = F.array(*[F.lit(e / edges[-1] if edges[-1] else 1.0) for e in edges])
-    per_slot = spark.range(0, total, 1, max(1, min(4096, -(-total // 200_000)))).select(
+def owners(rows: DataFrame, at: str, table: DataFrame, first: str, size: str, total: int, kinds: int) -> DataFrame:
+    """rows with the columns of the table's row whose range, size numbers from first on, holds the
+    number at. An equi-join on spans of numbers, of which there are about four for each of kinds ranges;
+    so a wide range is met in many spans, and a span meets at most as many ranges as it has numbers."""
+    width = max(1, total // (4 * max(1, kinds)))
+    span = F.explode(F.sequence(F.floor(F.col(first) / width), F.floor((F.col(first) + F.col(size) - 1) / width)))
+    spread = table.where(F.col(size) > 0).withColumn("span", span)
+    inside = (F.col(at) >= F.col(first)) & (F.col(at) < F.col(first) + F.col(size))
+    return rows.withColumn("span", F.floor(F.col(at) / width)).join(spread, "span").where(inside).drop("span")
+
+
+def draws(sources: DataFrame, shard_slots: int, seed: int, run_shards: int = 4096) -> DataFrame:
+    """shard, slot, s, blocks, turn: the mix's slots. turn counts a source's slots through all shards,
+    by runs of run_shards of them, so no task orders all of a source's."""
+    spark = sources.sparkSession
+    total, kinds = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count("*")).first()
+    ticket = F.floor(uniform(F.lit(seed), F.col("shard"), F.col("slot")) * total)
+    slots = spark.range(0, total, 1, max(1, min(4096, -(-total // 200_000)))).select(
         F.floor(F.col("id") / shard_slots).alias("shard"), F.pmod("id", F.lit(shard_slots)).alias("slot")
     )
-    # The slots of a shard that the whole parts do not fill draw; the last shard draws all its slots.
-    place = F.size(F.filter(fixed, lambda e: e <= F.col("slot")))
-    u = uniform(F.lit(seed), F.col("shard"), F.col("slot"))
-    drawn = F.least(F.size(F.filter(limits, lambda e: e <= u)), F.lit(len(plan) - 1))
-    all_shares, at = [], 0.0
-    for p in shares:
-        at += p
-        all_shares.append(at)
-    any_drawn = F.least(F.size(F.filter(F.array(*map(F.lit, all_shares)), lambda e: e <= u)), F.lit(len(plan) - 1))
-    partial = (F.col("shard") == F.lit(shards - 1)) & F.lit(total % shard_slots != 0)
-    choice = F.when(partial, any_drawn).when(F.col("slot") < F.lit(shard_slots - open_slots), place).otherwise(drawn)
-    chosen = per_slot.withColumn("s", choice.cast("int"))
-    counts = chosen.groupBy("s", "shard").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("s", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("shard", "s").orderBy("slot")
-    turns = (
-        chosen.join(offsets, ["s", "shard"])
-        .withColumn("turn", F.col("offset") + F.row_number().over(inside) - 1)
-        .select("shard", "slot", "s", "turn")
-    )
-    quota = F.element_at(F.array(*[F.lit(n) for _, _, n in plan]), F.col("s") + 1)
-    kept = turns.where(F.col("turn") < quota)
+    drawn = owners(slots.withColumn("ticket", ticket), "ticket", sources.select("s", "first", "quota"), "first", "quota", total, kinds)
+    # The multinomial counts of each shard, with the slots that drew: at most shard_slots in a row.
+    counts = drawn.groupBy("s", "shard").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
+    counts = staged(counts.select("s", "shard", F.floor(F.col("shard") / run_shards).alias("run"), "slots"), "draws")
+    n = F.size("slots").cast("long")
+    runs = counts.groupBy("s", "run").agg(F.sum(n).alias("n"))
+    earlier = Window.partitionBy("s").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("s", "run").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    offset = runs.select("s", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    placed = counts.withColumn("inside", F.coalesce(F.sum(n).over(inside), F.lit(0))).join(offset, ["s", "run"])
+
     # Draws past a quota, in order, take the turns that other sources have left.
-    over = turns.where(F.col("turn") >= quota)
-    drawn_of = {r[0]: r[1] for r in counts.groupBy("s").agg(F.sum("n")).collect()}
-    gaps, at = [], 0
-    for s, (_, _, n) in enumerate(plan):
-        if (lack := n - drawn_of.get(s, 0)) > 0:
-            gaps.append((at, at + lack, s, drawn_of.get(s, 0)))
-            at += lack
-    if gaps:
-        over_starts, at2 = [], 0
-        for s, (_, _, n) in enumerate(plan):
-            over_starts.append(at2)
-            at2 += max(0, drawn_of.get(s, 0) - n)
-        rank = F.element_at(F.array(*map(F.lit, over_starts)), F.col("s") + 1) + F.col("turn") - quota
-        new_s, new_turn = F.lit(None).cast("int"), F.lit(None).cast("long")
-        for start, end, s, have in gaps:
-            inside_gap = (F.col("rank") >= start) & (F.col("rank") < end)
-            new_s = F.when(inside_gap, F.lit(s)).otherwise(new_s)
-            new_turn = F.when(inside_gap, F.col("rank") - start + have).otherwise(new_turn)
-        moved = over.withColumn("rank", rank).select("shard", "slot", new_s.alias("s"), new_turn.alias("turn"))
-        kept = kept.unionByName(moved)
-    names = F.array(*[F.lit(s).cast("string") for s, _, _ in plan])
-    blocks = F.array(*[F.lit(b).cast("long") for _, b, _ in plan])
-    return kept.select(
-        "shard", "slot", F.get(names, F.col("s")).alias("source"), F.get(blocks, F.col("s")).alias("blocks"), "turn"
+    met = runs.groupBy("s").agg(F.sum("n").alias("n")).withColumnRenamed("s", "of")
+    balance = sources.join(met, F.col("s") == F.col("of"), "left").withColumn("drawn", F.coalesce("n", F.lit(0)))
+    balance = balance.select(
+        "s", "part", "quota", "blocks", "drawn",
+        F.greatest(F.col("drawn") - F.col("quota"), F.lit(0)).alias("over"),
+        F.greatest(F.col("quota") - F.col("drawn"), F.lit(0)).alias("lack"),
+    )
+    order = Window.partitionBy("part").orderBy("s")
+    balance = staged(with_sums(balance, order, over="over_first", lack="lack_first").drop("part"), "balance")
+    moved, gaps = balance.agg(F.coalesce(F.sum("lack"), F.lit(0)), F.sum((F.col("lack") > 0).cast("long"))).first()
+    # What is known of a source meets its draws run by run: at most a row of it for each.
+    known = runs.select("s", "run").join(balance.select("s", "quota", "blocks", "over_first"), "s")
+    turns = placed.join(known, ["s", "run"]).select(
+        "shard", "s", "quota", "blocks", "over_first", "offset", "inside", F.posexplode("slots").alias("pos", "slot")
     )
+    turns = turns.withColumn("turn", F.col("offset") + F.col("inside") + F.col("pos"))
+    kept = turns.where(F.col("turn") < F.col("quota")).select("shard", "slot", "s", "blocks", "turn")
+    over = turns.where(F.col("turn") >= F.col("quota"))
+    over = over.select("shard", "slot", (F.col("over_first") + F.col("turn") - F.col("quota")).alias("rank"))
+    gap = balance.select("s", "blocks", "drawn", "lack", "lack_first")
+    taken_over = owners(over, "rank", gap, "lack_first", "lack", moved, gaps or 0)
+    turn = (F.col("rank") - F.col("lack_first") + F.col("drawn")).alias("turn")
+    return kept.unionByName(taken_over.select("shard", "slot", "s", "blocks", turn))
 
 
 def mix_plan(
@@ -188,38 +209,18 @@ def mix_plan(
     shard_slots: int = 1024,
     max_passes: int = 3,
     seed: int = 20,
-    max_sources: int = 10_000,
-) -> tuple[DataFrame, DataFrame, dict, dict]:
-    """(packed rows, slots with their blocks, sizes, targets). Sources are a configuration of the
-    mix: more than max_sources raise, as their weights are held on the driver and in the plan."""
+) -> tuple[DataFrame, DataFrame]:
+    """(packed rows; shard, slot, s, block, pass: the slots with their blocks)."""
     sizes = sized(docs)
-    found = sizes.groupBy("source").agg(F.sum("size"), F.count("*")).limit(max_sources + 1).collect()
-    if len(found) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    totals = {r[0]: r[1] for r in found}
+    sources = with_weights(numbered_sources(sizes), weights, cycle)
+    sources = with_quotas(with_targets(sources, max_passes), block_tokens, max_passes)
     # About 5000 rows a lane in the largest source, and enough lanes to deal small ones out.
-    lanes = max(256, max((r[2] for r in found), default=0) // 5000)
-    rows = packed(sizes, lanes)
-    weights = weights or cycled_weights(list(totals), cycle)
-    goal = targets(totals, {s: weights[s] for s in totals}, max_passes)
-    plan = [(s, b, n) for s, (b, n) in quotas(totals, goal, block_tokens, max_passes).items() if n]
-    plan.sort(key=lambda x: (x[0] is None, x[0] or ""))
-    spark = docs.sparkSession
-    if not plan:
-        empty = "shard long, slot long, source string, block long, pass long"
-        return rows, spark.createDataFrame([], empty), totals, goal
-    drawn = draws(spark, plan, shard_slots, seed)
+    most = sources.agg(F.coalesce(F.max("rows"), F.lit(0))).first()[0]
+    rows = packed(sizes, sources, max(256, most // 5000))
     turn, size = F.col("turn"), F.col("blocks")
     round_ = F.floor(turn / size)
-    block = permuted(F.pmod(turn, size), size, F.lit(seed), F.col("source"), round_)
-    return rows, drawn.select("shard", "slot", "source", block.alias("block"), round_.alias("pass")), totals, goal
-
-
-def per_source(values: dict, source: Column, kind: str) -> Column:
-    """A literal map from sources to values."""
-    named = [F.lit(x) for s, v in values.items() if s is not None for x in (s, v)]
-    known = F.create_map(*named)[source] if named else F.lit(None)
-    return F.when(source.isNull(), F.lit(values.get(None))).otherwise(known).cast(kind)
+    block = permuted(F.pmod(turn, size), size, F.lit(seed), F.col("s"), round_)
+    return rows, draws(sources, shard_slots, seed).select("shard", "slot", "s", block.alias("block"), round_.alias("pass"))
 
 
 def taken(docs: DataFrame, block_tokens: int = 256, **options) -> DataFrame:
@@ -229,35 +230,26 @@ def taken(docs: DataFrame, block_tokens: int = 256, **options) -> DataFrame:
     A null text has size 0, and a row of size 0 takes 0. A null source is a source of its own, the
     last. Repeated rows each have their own place in the stream. The same rows give the same mix.
     """
-    rows, slots, totals, goal = mix_plan(docs, block_tokens=block_tokens, **options)
-    times = slots.groupBy("source", "block").agg(F.count("*").alias("times"))
-    reach = pieces(rows, block_tokens)
+    rows, slots = mix_plan(docs, block_tokens=block_tokens, **options)
+    times = slots.groupBy("s", "block").agg(F.count("*").alias("times"))
     used = (
-        reach.alias("p")
-        .join(times.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block")))
-        .groupBy("doc_id", F.col("p.source").alias("source"), "start", "size")
+        pieces(rows, block_tokens)
+        .join(times, ["s", "block"])
+        .groupBy("s", "start", "size")
         .agg(F.sum((F.col("end") - F.col("at")) * F.col("times")).alias("taken"))
     )
-    whole = rows.where(F.col("size") > 0).alias("r").join(
-        used.alias("u"),
-        F.col("r.source").eqNullSafe(F.col("u.source")) & (F.col("r.start") == F.col("u.start")),
-        "left",
-    ).select(F.col("r.doc_id").alias("doc_id"), F.col("r.source").alias("source"), F.col("r.size").alias("size"), F.coalesce("taken", F.lit(0)).alias("taken"))
-    empty = rows.where(F.col("size") == 0).select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken"))
-    return whole.unionByName(empty).select(
-        "doc_id",
-        "size",
-        per_source(totals, F.col("source"), "long").alias("source_size"),
-        per_source(goal, F.col("source"), "double").alias("target"),
-        F.col("taken").cast("long").alias("taken"),
-    )
+    names = ["doc_id", "size", "source_size", "target"]
+    whole = rows.where(F.col("size") > 0).join(used.drop("size"), ["s", "start"], "left")
+    empty = rows.where(F.col("size") == 0).withColumn("taken", F.lit(0))
+    cut = [F.coalesce("taken", F.lit(0)).cast("long").alias("taken")]
+    return whole.select(*names, *cut).unionByName(empty.select(*names, *cut))
 
 
 def mixed_blocks(docs: DataFrame, block_tokens: int = 256, **options) -> DataFrame:
     """shard, slot, source, block, pass, doc_ids, n_tokens and text of every slot of the mix: its
     block's words joined by blanks, and the documents that they come from, in stream order. The
     last block of a source may be short. Deterministic; empty for documents without a word."""
-    rows, slots, _, _ = mix_plan(docs, block_tokens=block_tokens, **options)
+    rows, slots = mix_plan(docs, block_tokens=block_tokens, **options)
     texts = columns_of(docs, "doc_id", "source", "text").withColumn("content", F.xxhash64("text"))
     texts = texts.where(F.regexp_like("text", F.lit(SPACE_WORD)))
     placed = rows.where(F.col("size") > 0)
@@ -269,20 +261,17 @@ def mixed_blocks(docs: DataFrame, block_tokens: int = 256, **options) -> DataFra
         F.col("p.doc_id").eqNullSafe(F.col("t.doc_id"))
         & F.col("p.source").eqNullSafe(F.col("t.source"))
         & (F.col("p.content") == F.col("t.content")),
-    ).select("p.doc_id", "p.source", "start", "size", F.regexp_extract_all("text", F.lit(SPACE_WORD), F.lit(0)).alias("words"))
-    # One key for both sides that is never null: blocks are then dealt as the join wants them, and
-    # texts move once.
-    named = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), "source"))
+    ).select("p.doc_id", "p.source", "s", "start", "size", F.regexp_extract_all("text", F.lit(SPACE_WORD), F.lit(0)).alias("words"))
     cut = pieces(joined, block_tokens).select(
-        named.alias("key"), "block", "at", "doc_id",
+        "s", "source", "block", "at", "doc_id",
         F.array_join(F.slice("words", (F.col("at") - F.col("start") + 1).cast("int"), (F.col("end") - F.col("at")).cast("int")), " ").alias("text"),
         (F.col("end") - F.col("at")).alias("n"),
     )
-    blocks = cut.groupBy("key", "block").agg(
-        F.array_sort(F.collect_list(F.struct("at", "doc_id", "text"))).alias("parts"), F.sum("n").alias("n_tokens")
+    blocks = cut.groupBy("s", "block").agg(
+        F.first("source").alias("source"),
+        F.array_sort(F.collect_list(F.struct("at", "doc_id", "text"))).alias("parts"),
+        F.sum("n").alias("n_tokens"),
     )
-    return (
-        slots.withColumn("key", named)
-        .join(blocks, ["key", "block"])
-        .select("shard", "slot", "source", "block", "pass", F.col("parts.doc_id").alias("doc_ids"), "n_tokens", F.array_join("parts.text", " ").alias("text"))
+    return slots.join(blocks, ["s", "block"]).select(
+        "shard", "slot", "source", "block", "pass", F.col("parts.doc_id").alias("doc_ids"), "n_tokens", F.array_join("parts.text", " ").alias("text")
     )

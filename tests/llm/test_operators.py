@@ -112,12 +112,68 @@ def test_empty_tables(none, bench):
 # ---------------------------------------------------------------- 1 mixing
 
 
-def test_targets_fill_up():
-    sizes, weights = {"a": 100, "b": 10, "c": 1000, None: 0}, {"a": 5.0, "b": 2.0, "c": 1.0, None: 5.0}
-    goal = mixing.targets(sizes, weights, 3)
+def plain_targets(sizes, cycle=(5, 2, 1), passes=3):
+    """All sizes by weight; a source above its limit is set to it and the rest shared anew, until none is."""
+    weights = {s: cycle[i % len(cycle)] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    full = set()
+    while True:
+        left = sum(sizes.values()) - sum(passes * sizes[s] for s in full)
+        open_weight = sum(w for s, w in weights.items() if s not in full)
+        out = {s: passes * sizes[s] if s in full else left * w / open_weight for s, w in weights.items()}
+        above = {s for s in sizes if s not in full and out[s] > passes * sizes[s]}
+        if not above:
+            return out
+        full |= above
+
+
+def targets_of(spark, sizes, weights=None):
+    rows = [(s, n // 2, None) for s, n in sizes.items()] + [(s, n - n // 2, 1) for s, n in sizes.items()]
+    table = mixing.numbered_sources(spark.createDataFrame(rows, "source string, size long, doc_id long"))
+    return {r["source"]: r for r in mixing.with_targets(mixing.with_weights(table, weights, (5.0, 2.0, 1.0)), 3).collect()}
+
+
+def test_targets_fill_up(spark):
+    got = targets_of(spark, {"a": 100, "b": 10, "c": 1000, None: 0})
+    goal = {s: r["target"] for s, r in got.items()}
     assert goal["a"] == 300 and goal["b"] == 30 and goal["c"] == pytest.approx(780) and goal[None] == 0
-    assert sum(goal.values()) == pytest.approx(1110)
-    assert mixing.cycled_weights(["b", None, "a", "ä"], (5, 2, 1)) == {"a": 5, "b": 2, "ä": 1, None: 5}
+    got = targets_of(spark, {"b": 1, None: 9, "a": 3, "ä": 4})
+    assert {s: (r["s"], r["weight"]) for s, r in got.items()} == {"a": (0, 5), "b": (1, 2), "ä": (2, 1), None: (3, 5)}
+    assert {s: r["weight"] for s, r in targets_of(spark, {"x": 1, None: 9}, {"x": 2, None: 3}).items()} == {"x": 2, None: 3}
+    with pytest.raises(ValueError):
+        targets_of(spark, {"x": 1, "y": 9}, {"x": 2})
+    rng = random.Random(6)
+    for _ in range(3):
+        sizes = {f"s{i}": rng.choice([0, 1, 5, rng.randrange(10_000)]) for i in range(40)}
+        got = targets_of(spark, sizes)
+        assert all(got[s]["target"] == pytest.approx(t) for s, t in plain_targets(sizes).items())
+
+
+def test_many_sources(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 400)), f"host{rng.randrange(2000)}" if i % 3 else "hot") for i in range(6000)]
+    got = mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_tokens=16, shard_slots=64).collect()
+    size, took, goal = defaultdict(int), defaultdict(int), {}
+    source = {r[0]: r[2] for r in rows}
+    for g in got:
+        s = source[g["doc_id"]]
+        size[s] += g["size"]
+        took[s] += g["taken"]
+        goal[s] = g["target"]
+        assert g["taken"] <= 3 * g["size"]
+    assert len(got) == len(rows) and len(size) > 1700 and all(g["source_size"] == size[source[g["doc_id"]]] for g in got)
+    assert all(goal[s] == pytest.approx(t) for s, t in plain_targets(size).items())
+    assert all(abs(took[s] - goal[s]) <= 1.5 * 16 for s in size)
+
+
+@pytest.mark.parametrize("run_shards", [2, 4096])
+def test_draws_fill_quotas(spark, run_shards):
+    quotas = [7, 0, 300, 1, 1, 64, 2000, 5]
+    rows = [(s, s // 3, q, 10 + s, sum(quotas[:s])) for s, q in enumerate(quotas)]
+    sources = spark.createDataFrame(rows, "s long, part int, quota long, blocks long, first long")
+    got = mixing.draws(sources, 64, 3, run_shards).collect()
+    assert sorted((r["s"], r["turn"]) for r in got) == [(s, t) for s, q in enumerate(quotas) for t in range(q)]
+    assert sorted(r["shard"] * 64 + r["slot"] for r in got) == list(range(sum(quotas)))
+    assert all(r["blocks"] == 10 + r["s"] for r in got)
 
 
 def test_permutation(spark):
@@ -138,7 +194,7 @@ def test_mix(docs):
             took[source[i]] += g["taken"]
             goal[source[i]] = g["target"]
             assert g["size"] == len(SPACE.findall(next(r[1] for r in ROWS if r[0] == i) or ""))
-    want = mixing.targets(size, mixing.cycled_weights(list(size), (5, 2, 1)), 3)
+    want = plain_targets(size)
     assert goal == {k: pytest.approx(v) for k, v in want.items()}
     assert all(abs(took[s] - goal[s]) <= 1.5 * block for s in size)
     again = by_id(mixing.taken(docs.repartition(7), block_tokens=block, shard_slots=64))
