@@ -3,8 +3,9 @@
 From each rule's regular expression a Boolean query is derived: alternatives of trigrams that every
 match holds. The index has a posting (trigram, document) for each trigram that some query asks
 for. Postings are intersected by counting, for each document and alternative, the trigrams met;
-documents that meet all of one are candidates, on which the expression itself is run. A rule
-without mandatory trigrams runs on every text.
+documents that meet all of one are candidates, on which the expression itself is run. Only texts that
+hold the trigram of the shortest posting list of some alternative move to meet that verdict. A rule
+without mandatory trigrams runs on every text, where it lies.
 """
 
 from __future__ import annotations
@@ -146,37 +147,63 @@ def derive(pattern: str) -> Query:
     return analysed(_parser.parse(pattern))[1]
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, list[int]]:
-    """(doc_id, content and rules: numbers of the rules whose query the text fulfils, for those that
-    fulfil one; numbers of the rules that have no query)."""
+def indexed(rules: tuple[Rule, ...]) -> tuple[list[tuple[str, int, int, int]], list[int]]:
+    """(trigram, rule, alternative, trigrams of the alternative) of the rules that have a query; numbers
+    of the rules that have none."""
     queries = {n: derive(r.pattern) for n, r in enumerate(rules)}
     full = [n for n, q in queries.items() if any(not a for a in q)]
-    parts = [(g, n, i, len(a)) for n, q in queries.items() if n not in full for i, a in enumerate(q) for g in sorted(a)]
-    asked = F.array(*[F.lit(g) for g in sorted({p[0] for p in parts})]).cast("array<string>")
+    return [(g, n, i, len(a)) for n, q in queries.items() if n not in full for i, a in enumerate(q) for g in sorted(a)], full
+
+
+def postings_of(docs: DataFrame, terms: list[tuple[str, int, int, int]]) -> DataFrame:
+    """Staged: doc_id, content (hash of the text) and gram, for each trigram asked for that a text holds."""
+    asked = F.array(*[F.lit(g) for g in sorted({t[0] for t in terms})]).cast("array<string>")
     low = docs.select("doc_id", F.xxhash64("text").alias("content"), F.lower("text").alias("low"))
     held = F.filter(asked, lambda g: F.contains(F.col("low"), g))
-    postings = low.select("doc_id", "content", F.explode(held).alias("gram"))
+    return staged(low.select("doc_id", "content", F.explode(held).alias("gram")), "postings")
+
+
+def candidates(postings: DataFrame, terms: list[tuple[str, int, int, int]]) -> DataFrame:
+    """doc_id, content and rules: numbers of the rules of which a text holds all trigrams of some
+    alternative, by intersecting postings; only texts that have one."""
     # As many rows as the queries have trigrams: a bounded broadcast.
-    terms = docs.sparkSession.createDataFrame(parts, "gram string, rule int, alternative int, asked int")
+    table = postings.sparkSession.createDataFrame(terms, "gram string, rule int, alternative int, asked int")
     met = (
-        postings.join(F.broadcast(terms), "gram")
+        postings.join(F.broadcast(table), "gram")
         .groupBy("doc_id", "content", "rule", "alternative")
         .agg(F.count("*").alias("met"), F.first("asked").alias("asked"))
         .where(F.col("met") >= F.col("asked"))
     )
-    return met.groupBy("doc_id", "content").agg(F.collect_set("rule").alias("rules")), full
+    return met.groupBy("doc_id", "content").agg(F.collect_set("rule").alias("rules"))
+
+
+def rarest(postings: DataFrame, terms: list[tuple[str, int, int, int]]) -> list[str]:
+    """Of each alternative the trigram with the shortest posting list. A text without any of them is
+    no candidate."""
+    met = {r[0]: r[1] for r in postings.groupBy("gram").count().collect()}  # a count for each trigram asked for
+    of: dict[tuple[int, int], list[str]] = {}
+    for gram, rule, alternative, _ in terms:
+        of.setdefault((rule, alternative), []).append(gram)
+    return sorted({min(grams, key=lambda g: (met.get(g, 0), g)) for grams in of.values()})
 
 
 def with_rules(docs: DataFrame, rules: tuple[Rule, ...], name: str) -> DataFrame:
-    """docs with name: numbers of the rules to run on the text."""
+    """docs with name: numbers of the rules to run on the text. Only texts that hold a rarest trigram
+    of an alternative are joined with the candidates; the others stay where they lie."""
     columns = docs.columns
     same, content, mark, found = (unused([*columns, name], n) for n in ("same_id", "content", "content_", "rules_"))
-    few, full = candidates(docs, rules)
-    few = few.select(F.col("doc_id").alias(same), F.col("content").alias(content), F.col("rules").alias(found))
-    marked = docs.withColumn(mark, F.xxhash64("text"))
-    joined = marked.join(few, marked["doc_id"].eqNullSafe(few[same]) & (marked[mark] == few[content]), "left")
+    terms, full = indexed(rules)
     always = F.array(*map(F.lit, full)).cast("array<int>")
-    return joined.select(*quoted(columns), F.concat(F.coalesce(found, F.array().cast("array<int>")), always).alias(name))
+    if not terms:
+        return docs.withColumn(name, always)
+    postings = postings_of(docs, terms)
+    few = candidates(postings, terms).select(F.col("doc_id").alias(same), F.col("content").alias(content), F.col("rules").alias(found))
+    low = F.lower("text")
+    maybe = F.coalesce(F.greatest(F.lit(False), *[F.contains(low, F.lit(g)) for g in rarest(postings, terms)]), F.lit(False))
+    marked = docs.where(maybe).withColumn(mark, F.xxhash64("text"))
+    joined = marked.join(few, marked["doc_id"].eqNullSafe(few[same]) & (marked[mark] == few[content]), "left")
+    asked = joined.select(*quoted(columns), F.concat(F.coalesce(found, F.array().cast("array<int>")), always).alias(name))
+    return docs.where(~maybe).withColumn(name, always).unionByName(asked)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
