@@ -194,7 +194,28 @@ class ColumnOps:
             raise V.FrameError(f"column {name!r} is not localised")
         return self._with(self.df.withColumn(new or name, F.convert_timezone(F.lit("UTC"), F.lit(zone), V.col(name))))
 
+    # ---- JSON texts
+    def json_value(self, name: str, path: str, new: str, kind: str = "string"):
+        """What stands at path ($.a.b, $.a[0]) of a column of JSON texts; missing if nothing does, the
+        text is no JSON, or it is not of the kind."""
+        return self._with(self.df.withColumn(new, F.get_json_object(V.col(name), path).try_cast(kind)))
+
+    def json_keys(self, name: str, new: str):
+        """The keys of a column of JSON objects, in their order."""
+        return self._with(self.df.withColumn(new, F.json_object_keys(V.col(name))))
+
     # ---- Python functions, in Arrow batches
+    def apply_table(self, fn: Callable[[tuple], object], schema: str | T.StructType):
+        """A table function: the rows that fn yields for each row's cells."""
+        names, kind = self.df.columns, schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+
+        def run(parts):
+            for part in parts:
+                rows = [tuple(x) for r in part[names].itertuples(index=False, name=None) for x in fn(tuple(r))]
+                yield pd.DataFrame(rows, columns=kind.names)
+
+        return self._with(self.df.mapInPandas(run, kind), [])
+
     def apply_numeric(self, name: str, fn: Callable[[float], float], new: str | None = None):
         """fn over the present values of a numeric column."""
         @F.pandas_udf("double")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from loomframe.functions import values as V
 
@@ -96,11 +96,14 @@ class GroupBy:
     def group_count(self) -> int:
         return self.df.select(*self._keys()).distinct().count()
 
-    def _over(self, name: str, fn: str) -> Column:
-        spec = Window.partitionBy(*[k for k in self._keys()])
-        if fn == "nunique":  # no distinct aggregates over windows
-            return F.size(F.collect_set(V.present(self.df, name)).over(spec)).cast("long")
-        return aggregate_over(self.df, name, fn, self.frame.order_by, spec)
+    def agg_python(self, name: str, fn: Callable, new: str, kind: str = "double"):
+        """An aggregate of one's own: fn(pandas series of the group's present values) -> a value. A group
+        must fit one task's memory, as Spark cannot take such a function apart."""
+        @F.pandas_udf(kind)
+        def made(x: pd.Series) -> float:
+            return fn(x.dropna())
+
+        return self.frame._with(self.df.groupBy(*self._keys()).agg(made(V.present(self.df, name)).alias(new)), [])
 
     def filter(self, name: str, fn: str, keep: Callable[[Column], Column]):
         """Rows of the groups whose aggregate keep() accepts. The aggregate is joined back, so a
@@ -155,10 +158,6 @@ class GroupBy:
         return self.frame._with(grouped.agg(*parts, F.grouping_id().alias("grouping_id")), [])
 
 
-def aggregate_over(df: DataFrame, name: str, fn: str, order: list[str], spec) -> Column:
-    return aggregate(df, name, fn, order).over(spec)
-
-
 class GroupOps:
     df: DataFrame
 

@@ -1,8 +1,8 @@
 """Order-dependent functions that do not put a table into one task.
 
 A window without a partition key runs in one task. Up to SINGLE rows that is the quickest plan.
-Beyond it rows are numbered by range buckets of the order key (bounds from one percentile pass,
-numbers from a prefix sum over buckets) and then dealt into runs of BLOCK consecutive rows. Running
+Beyond it rows are dealt into ranges of the order key, numbered by a prefix sum over the ranges'
+counts, and then dealt into runs of BLOCK consecutive rows. Running
 functions combine each run's own with what earlier runs carry over; frames of bounded length get
 the rows that reach into a run as a halo.
 """
@@ -13,10 +13,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
-from loomframe.functions.values import col, fresh, kind_of
+from loomframe.functions.scratch import staged
+from loomframe.functions.values import col, fresh
 
 SINGLE = 1 << 20
 BLOCK = 1 << 18
@@ -27,38 +27,27 @@ def order_columns(order: list[str]) -> list[Column]:
 
 
 def numbered(df: DataFrame, order: list[str], name: str, single: int | None = None) -> DataFrame:
-    """df with name: row numbers from 0 in the order of order."""
+    """df with name: row numbers from 0 in the order of order.
+
+    A large table is dealt into ranges of the whole order key, and of a running number behind it, so
+    that neither like prefixes nor rows that tie meet in one task. The ranges are written once: rows are
+    counted and numbered in the same ones, even where an executor is lost in between."""
     single = SINGLE if single is None else single
     count = df.count()
-    whole = Window.orderBy(*order_columns(order))
     if count <= single:
+        whole = Window.orderBy(*order_columns(order))
         return df.withColumn(name, (F.row_number().over(whole) - 1).cast("long"))
-    bucket = fresh(df.columns, "bucket")
-    first = df.schema[order[0]].dataType
-    key = F.unix_micros(col(order[0]).cast("timestamp")) if isinstance(first, (T.TimestampType, T.TimestampNTZType)) else col(order[0])
+    part, tie, offset = (fresh([*df.columns, name], n) for n in ("part", "tie", "offset"))
     parts = -(-count // max(1, single // 4))
-    if kind_of(first) in ("number", "time"):
-        shares = [i / parts for i in range(1, parts)]
-        bounds = df.agg(F.percentile_approx(key.cast("double"), F.array(*map(F.lit, shares)), F.lit(10 * parts))).first()[0]
-        place = F.array(*[F.lit(float(b)) for b in sorted(set(bounds or []))])
-        at = F.when(key.isNull(), F.lit(parts + 1)).otherwise(F.size(F.filter(place, lambda b: b <= key.cast("double"))))
-    else:  # text: by its first characters, in order
-        heads = df.groupBy(F.substring(key.cast("string"), 1, 2).alias("h")).count().orderBy("h").limit(20_000).collect()
-        at, seen, cuts = F.lit(0), 0, []
-        for h, n in heads:
-            seen += n
-            if seen >= count / parts:
-                cuts, seen = [*cuts, h], 0
-        at = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<string>"), lambda b: b < F.substring(key.cast("string"), 1, 2)))
-        at = F.when(key.isNull(), F.lit(parts + 1)).otherwise(at)
-    dealt = df.withColumn(bucket, at)
-    counts = dealt.groupBy(bucket).agg(F.count("*").alias("n"))
-    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(col(bucket), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"))
-    offset = fresh([*df.columns, bucket], "offset")
-    inside = Window.partitionBy(bucket).orderBy(*order_columns(order))
-    joined = dealt.join(F.broadcast(offsets.withColumnRenamed("n", offset)), bucket)  # a row for each bucket
-    return joined.withColumn(name, (F.row_number().over(inside) - 1 + col(offset)).cast("long")).drop(bucket, offset)
+    keys = [*order_columns(order), col(tie)]
+    ranged = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(parts, *keys)
+    dealt = staged(ranged.withColumn(part, F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(part).agg(F.count("*").alias("n"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(col(part), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(offset))
+    inside = Window.partitionBy(part).orderBy(*keys)
+    joined = dealt.join(F.broadcast(offsets), part)  # a row for each range
+    return joined.withColumn(name, (F.row_number().over(inside) - 1 + col(offset)).cast("long")).drop(part, tie, offset)
 
 
 def windowed(

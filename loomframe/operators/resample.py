@@ -74,6 +74,10 @@ class Resampler:
             return F.when(F.count(V.present(self.rows, name)) > 0, value)
         return value
 
+    def bins(self):
+        """Each row with a time, with bin: the number of its bin from 0. What the aggregates group by."""
+        return self.frame._with(self.rows.select(*map(V.col, self.frame.df.columns), V.col("__bin").alias("bin")))
+
     def all(self, fn: str):
         """Every numeric and boolean column: _bucket_ and <column>_<fn>."""
         names = [n for n in V.numeric_columns(self.frame.df, booleans=True) if n != self.name]

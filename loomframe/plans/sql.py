@@ -506,10 +506,21 @@ class Planner:
             return out
         rest: list[Node] = []
         left_on, right_on = [], []
+        made: list[str] = []
         if j.using:
             left_on = right_on = j.using
         for c in conjuncts(j.on):
             pair = self._equation(c, scope, right, alias)
+            if not pair and (sides := self._computed(c, scope, right, alias)):
+                # An equation of expressions of either side joins on them as columns.
+                x, y = self.compiler(scope)._compile(sides[0]), self.compiler(Scope(right, alias))._compile(sides[1])
+                names = [*left.df.columns, *right.df.columns]
+                pair = fresh(names, "key_left"), fresh(names, "key_right")
+                kind = {"number": "double"}.get(x.kind) if x.kind == y.kind else None
+                cast = lambda v, kind=kind: v.column.cast(kind) if kind else v.column
+                left = scope.frame = left._with(left.df.withColumn(pair[0], cast(x)))
+                right = right._with(right.df.withColumn(pair[1], cast(y)))
+                made += pair
             if pair:
                 left_on.append(pair[0])
                 right_on.append(pair[1])
@@ -518,7 +529,7 @@ class Planner:
         if not left_on:
             raise FrameError("ON needs an equation of a column of either side; a product is CROSS JOIN")
         if j.how in ("semi", "anti"):
-            out = Scope(left.semi_join(right, left_on=left_on, right_on=right_on, anti=j.how == "anti"), None)
+            out = Scope(left.semi_join(right, left_on=left_on, right_on=right_on, anti=j.how == "anti").drop(*made), None)
             out.names = scope.names
             return out
         from loomframe.operators.join import merged_names
@@ -530,31 +541,43 @@ class Planner:
         out.names = {k: names_l[v] for k, v in scope.names.items()}
         if alias:
             out.names |= {(alias.lower(), n): m for n, m in names_r.items()} | {(alias.lower(), n): n for n in shared}
-        out.frame = self.filtered(out, rest)
+        out.frame = self.filtered(out, rest).drop(*made)
         return out
 
     @staticmethod
-    def _equation(node: Node, scope: Scope, right: Frame, alias: str | None) -> tuple[str, str] | None:
+    def _sides(scope: Scope, right: Frame, alias: str | None, q: str | None, n: str) -> tuple[str | None, str | None]:
+        """The column of the left and of the right table that q.n can mean."""
+        own = bool(q and alias and q.lower() == alias.lower())
+        left = None if own and (q.lower(), n) not in scope.names else scope.resolve(q, n)
+        other = bool(q and q.lower() in {a for a, _ in scope.names} and not own)
+        return left if left in scope.frame.df.columns else None, n if not other and n in right.df.columns else None
+
+    def _equation(self, node: Node, scope: Scope, right: Frame, alias: str | None) -> tuple[str, str] | None:
         if node.op != "==" or any(a.op != "column" for a in node.args):
             return None
+        (x, p), (y, q) = (self._sides(scope, right, alias, *a.value) for a in node.args)
+        if x and q:
+            return x, q
+        return (y, p) if y and p else None
+
+    def _computed(self, node: Node, scope: Scope, right: Frame, alias: str | None) -> tuple[Node, Node] | None:
+        """An equation's sides, if one is an expression of the left and the other of the right table."""
+        if node.op != "==":
+            return None
 
-        def of_left(q: str | None, n: str) -> str | None:
-            if q and alias and q.lower() == alias.lower() and (q.lower(), n) not in scope.names:
-                return None
-            got = scope.resolve(q, n)
-            return got if got in scope.frame.df.columns else None
-
-        def of_right(q: str | None, n: str) -> str | None:
-            known = {a for a, _ in scope.names}
-            if q and q.lower() in known and not (alias and q.lower() == alias.lower()):
-                return None
-            return n if n in right.df.columns else None
-
-        (a, b) = (x.value for x in node.args)
-        for p, q in ((a, b), (b, a)):
-            if (x := of_left(*p)) and (y := of_right(*q)):
-                return x, y
-        return None
+        def columns(n) -> list[Node]:
+            if not isinstance(n, Node):
+                return []
+            return [n] if n.op == "column" else [c for a in n.args for c in columns(a)]
+
+        def side(n: Node) -> str:
+            found = [self._sides(scope, right, alias, *c.value) for c in columns(n)]
+            if found and all(x and not y for x, y in found):
+                return "left"
+            return "right" if found and all(y and not x for x, y in found) else ""
+
+        a, b = node.args
+        return {("left", "right"): (a, b), ("right", "left"): (b, a)}.get((side(a), side(b)))
 
     # ---- conditions
     def compiler(self, scope: Scope) -> Compiler:

@@ -51,4 +51,4 @@ def query(name: str, sql: str | None = None, digits: int = 4):
     return add
 
 
-from loomframe import catalog  # noqa: E402, F401  registers the queries
+from loomframe import catalog, catalog_more  # noqa: E402, F401  registers the queries

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,9 +73,3 @@ def run_to_batches(stream: DataFrame, sink: str, checkpoint: str, mode: str = "c
     query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(sink)
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir, or in a temporary folder where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='loomframe-')).rstrip('/')}/{label}-{uuid.uuid4().hex}"
