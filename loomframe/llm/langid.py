@@ -189,7 +189,8 @@ def labelled_sample(
     chosen = chosen.select(F.col("lang").alias("of"), F.col("draw").alias("same"), F.col("doc_id").alias("least_id"))
     texts = known.withColumn("draw", F.xxhash64(F.lit("langid"), "text"))
     same = (texts["lang"] == chosen["of"]) & (texts["draw"] == chosen["same"]) & texts["doc_id"].eqNullSafe(chosen["least_id"])
-    found = texts.join(chosen, same, "left_semi").dropDuplicates(["lang", "draw"])
+    # At most per_label rows a label, of ids and hashes.
+    found = texts.join(F.broadcast(chosen), same, "left_semi").dropDuplicates(["lang", "draw"])
     rows = found.select("lang", "draw", "doc_id", F.col("text").cast("binary").alias("text")).collect()
     return [(r["doc_id"], bytes(r["text"]), r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["draw"]))]
 
