@@ -220,7 +220,11 @@ def mix_plan(
     turn, size = F.col("turn"), F.col("blocks")
     round_ = F.floor(turn / size)
     block = permuted(F.pmod(turn, size), size, F.lit(seed), F.col("s"), round_)
-    return rows, draws(sources, shard_slots, seed).select("shard", "slot", "s", block.alias("block"), round_.alias("pass"))
+    drawn = draws(sources, shard_slots, seed)
+    # The permutation is the costly part of a slot: dealt out by number, not by the few bytes of a slot.
+    n = sources.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
+    drawn = drawn.repartition(max(1, min(20_000, -(-n // 20_000))), "shard", "slot")
+    return rows, drawn.select("shard", "slot", "s", block.alias("block"), round_.alias("pass"))
 
 
 def taken(docs: DataFrame, block_tokens: int = 256, **options) -> DataFrame:
