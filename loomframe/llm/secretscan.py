@@ -11,6 +11,7 @@ without mandatory trigrams runs on every text, where it lies.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -157,10 +158,14 @@ def indexed(rules: tuple[Rule, ...]) -> tuple[list[tuple[str, int, int, int]], l
 
 def postings_of(docs: DataFrame, terms: list[tuple[str, int, int, int]]) -> DataFrame:
     """Staged: doc_id, content (hash of the text) and gram, for each trigram asked for that a text holds."""
-    asked = F.array(*[F.lit(g) for g in sorted({t[0] for t in terms})]).cast("array<string>")
-    low = docs.select("doc_id", F.xxhash64("text").alias("content"), F.lower("text").alias("low"))
-    held = F.filter(asked, lambda g: F.contains(F.col("low"), g))
-    return staged(low.select("doc_id", "content", F.explode(held).alias("gram")), "postings")
+    held = held_of(F.col("text"), sorted({t[0] for t in terms}), F.filter)
+    return staged(docs.select("doc_id", F.xxhash64("text").alias("content"), F.explode(held).alias("gram")), "postings")
+
+
+def held_of(text: Column, grams: list[str], pick: Callable) -> Column:
+    """pick (filter or exists) of grams by whether the lower-cased text, made once, holds them."""
+    asked = F.array(*map(F.lit, grams)).cast("array<string>")
+    return F.get(F.transform(F.array(F.lower(text)), lambda low: pick(asked, lambda g: F.contains(low, g))), F.lit(0))
 
 
 def candidates(postings: DataFrame, terms: list[tuple[str, int, int, int]]) -> DataFrame:
@@ -198,8 +203,7 @@ def with_rules(docs: DataFrame, rules: tuple[Rule, ...], name: str) -> DataFrame
         return docs.withColumn(name, always)
     postings = postings_of(docs, terms)
     few = candidates(postings, terms).select(F.col("doc_id").alias(same), F.col("content").alias(content), F.col("rules").alias(found))
-    low = F.lower("text")
-    maybe = F.coalesce(F.greatest(F.lit(False), *[F.contains(low, F.lit(g)) for g in rarest(postings, terms)]), F.lit(False))
+    maybe = F.coalesce(held_of(F.col("text"), rarest(postings, terms), F.exists), F.lit(False))
     marked = docs.where(maybe).withColumn(mark, F.xxhash64("text"))
     joined = marked.join(few, marked["doc_id"].eqNullSafe(few[same]) & (marked[mark] == few[content]), "left")
     asked = joined.select(*quoted(columns), F.concat(F.coalesce(found, F.array().cast("array<int>")), always).alias(name))
