@@ -22,6 +22,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -314,51 +316,75 @@ def block_members(named: DataFrame, block: int) -> DataFrame:
     )
 
 
-def close_pairs(table: pa.Table, threshold: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of two blocks: rows a and b of each plausible pair of different components, most similar first,
-    and the members' components in small numbers."""
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    own = table.column("own").to_numpy()
-    component = np.unique(np.array(table.column("component").to_pylist(), object), return_inverse=True)[1]
-    size = table.column("n_shingles").to_numpy()
-    flat = table.column("sketch").combine_chunks().flatten().to_numpy()
-    sketch = flat.astype(np.int64).reshape(-1, SKETCH_BITS // 64).view(np.uint64)
-    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-    a, b, bits = [], [], []
-    for x in left:
-        others = right[right > x] if i == j else right
-        fits = np.minimum(size[others], size[x]) >= threshold * np.maximum(size[others], size[x])
-        others = others[fits & (component[others] != component[x])]
-        different = np.bitwise_count(sketch[others] ^ sketch[x]).sum(axis=1)
-        near = different <= most
-        a.append(np.full(int(near.sum()), x))
-        b.append(others[near])
-        bits.append(different[near])
-    a, b, bits = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (a, b, bits))
-    order = np.lexsort((b, a, bits))
-    return a[order], b[order], component
-
-
-def by_blocks(work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable:
-    """For mapInArrow over rows sorted by key, i, j: work(table) on each pair of blocks, one at a time."""
+@dataclass
+class Block:
+    """The members of one pair of blocks, or of many, as arrays."""
+
+    rows: pa.RecordBatch
+    edge: np.ndarray  # where a pair of blocks begins, and the end
+    i: np.ndarray
+    j: np.ndarray
+    own: np.ndarray
+    component: np.ndarray  # small numbers
+    size: np.ndarray
+    sketch: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.RecordBatch) -> Block:
+        column = lambda n: rows.column(n).to_numpy(zero_copy_only=False)
+        key, i, j = column("key"), column("i"), column("j")
+        new = (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
+        edge = np.concatenate([[0], np.flatnonzero(new) + 1, [rows.num_rows]])
+        component = rows.column("component").dictionary_encode().indices.to_numpy()
+        sketch = rows.column("sketch").flatten().to_numpy().astype(np.int64).reshape(-1, SKETCH_BITS // 64).view(np.uint64)
+        return cls(rows, edge, i, j, column("own"), component, column("n_shingles"), sketch)
+
+    def close(self, start: int, end: int, threshold: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pair of blocks in rows start to end: rows a and b of each plausible pair of different
+        components, most similar first."""
+        here = np.arange(start, end)
+        same = self.i[start] == self.j[start]
+        left = here if same else here[self.own[start:end] == self.i[start]]
+        right = here if same else here[self.own[start:end] == self.j[start]]
+        a, b, bits = [], [], []
+        step = max(1, (1 << 16) // max(1, len(right)))  # pairs at a time, for the arrays made of them
+        for at in range(0, len(left), step):
+            x, y = (m.ravel() for m in np.meshgrid(left[at : at + step], right, indexing="ij"))
+            ok = self.component[x] != self.component[y]
+            if same:
+                ok &= x < y
+            x, y = x[ok], y[ok]
+            fits = np.minimum(self.size[x], self.size[y]) >= threshold * np.maximum(self.size[x], self.size[y])
+            x, y = x[fits], y[fits]
+            different = np.bitwise_count(self.sketch[x] ^ self.sketch[y]).sum(axis=1)
+            near = different <= most
+            a.append(x[near])
+            b.append(y[near])
+            bits.append(different[near])
+        a, b, bits = np.concatenate(a), np.concatenate(b), np.concatenate(bits)
+        order = np.lexsort((b, a, bits))
+        return a[order], b[order]
+
+
+def by_blocks(work: Callable[[Block], Iterator[pa.RecordBatch]]) -> Callable:
+    """For mapInArrow over rows sorted by key, i, j: work on whole pairs of blocks. Of one that reaches
+    into the next batch the rows are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        at = None
         for batch in batches:
-            names = list(zip(*(batch.column(n).to_pylist() for n in ("key", "i", "j")), strict=True))
-            start = 0
-            for end in range(1, len(names) + 1):
-                if end < len(names) and names[end] == names[start]:
-                    continue
-                if held and names[start] != at:
-                    yield from work(pa.Table.from_batches(held))
-                    held = []
-                at = names[start]
-                held.append(batch.slice(start, end - start))
-                start = end
+            if not batch.num_rows:
+                continue
+            if held and any(batch.column(n)[-1] != held[0].column(n)[0] for n in ("key", "i", "j")) or not held:
+                rows = pa.concat_batches([*held, batch])
+                last = Block.of(rows).edge[-2]
+                held = [rows.slice(last)]
+                if last:
+                    yield from work(Block.of(rows.slice(0, last)))
+            else:
+                held.append(batch)
         if held:
-            yield from work(pa.Table.from_batches(held))
+            yield from work(Block.of(pa.concat_batches(held)))
 
     return run
 
@@ -378,38 +404,39 @@ def remaining_links(
     members = block_members(with_components(buckets, labels), block)
     members = members.join(classes.select("node", "n_shingles", "sketch"), "node")
 
-    def plausible_members(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        a, b, _ = close_pairs(table, threshold, most)
-        yield from table.take(np.unique(np.concatenate([a, b]))).combine_chunks().to_batches()
-
-    def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        x_rows, y_rows, component = close_pairs(table, threshold, most)
-        node, raw = table.column("node").to_pylist(), table.column("text")
-        parent = list(range(int(component.max()) + 1))
-
-        def root(c: int) -> int:
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
-        sets: dict[int, set] = {}
-        held, a, b = 0, [], []
-        for x, y in zip(x_rows.tolist(), y_rows.tolist(), strict=True):
-            p, q = root(component[x]), root(component[y])
-            if p == q:
-                continue
-            if held > 2_000_000:
-                sets.clear()
-                held = 0
-            for k in (x, y):
-                if k not in sets:
-                    sets[k] = shingle_set(raw[k].as_py(), shingle)
-                    held += len(sets[k])
-            if reaches(sets[x], sets[y], percent):
-                parent[p] = q
-                a.append(min(node[x], node[y]))
-                b.append(max(node[x], node[y]))
+    def plausible_members(block: Block) -> Iterator[pa.RecordBatch]:
+        found = [x for start, end in pairwise(block.edge) for x in block.close(start, end, threshold, most)]
+        yield block.rows.take(pa.array(np.unique(np.concatenate(found))))
+
+    def links(block: Block) -> Iterator[pa.RecordBatch]:
+        node, raw = block.rows.column("node"), block.rows.column("text")
+        out: list[tuple[bytes, bytes]] = []
+        for start, end in pairwise(block.edge):
+            parent = {c: c for c in block.component[start:end].tolist()}
+
+            def root(c: int, parent=parent) -> int:
+                while parent[c] != c:
+                    parent[c] = parent[parent[c]]
+                    c = parent[c]
+                return c
+
+            sets: dict[int, set] = {}
+            held = 0
+            for x, y in zip(*(k.tolist() for k in block.close(start, end, threshold, most)), strict=True):
+                p, q = root(int(block.component[x])), root(int(block.component[y]))
+                if p == q:
+                    continue
+                if held > 2_000_000:
+                    sets.clear()
+                    held = 0
+                for k in (x, y):
+                    if k not in sets:
+                        sets[k] = shingle_set(raw[k].as_py(), shingle)
+                        held += len(sets[k])
+                if reaches(sets[x], sets[y], percent):
+                    parent[p] = q
+                    out.append(tuple(sorted((node[x].as_py(), node[y].as_py()))))
+        a, b = ([r[k] for r in out] for k in (0, 1))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     def dealt(rows: DataFrame, work, schema) -> DataFrame:
