@@ -9,6 +9,8 @@ import uuid
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomframe.functions.values import FrameError
 
@@ -35,10 +37,17 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet and read back: lineage ends there, and what is read stays the same."""
+    """df written as Parquet and read back: lineage ends there, and what is read stays the same. Columns
+    go by place, so that any names will do, and those that hold nothing are made again."""
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    empty = {f.name for f in plain.schema.fields if isinstance(f.dataType, T.NullType)}
+    plain = plain.drop(*empty)
+    plain.write.parquet(path)
+    back = df.sparkSession.read.schema(plain.schema).parquet(path)
+    return back.select(*[
+        (F.lit(None) if f"c{i}" in empty else F.col(f"c{i}")).alias(f.name, metadata=f.metadata) for i, f in enumerate(df.schema.fields)
+    ])
 
 
 def release() -> None:

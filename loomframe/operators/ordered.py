@@ -104,6 +104,10 @@ def running(
         keyed = Window.partitionBy(*map(col, partition)) if partition else Window
         spec = keyed.orderBy(*order_columns(order))
         return df.withColumns({n: over(fn, c, spec) for n, (fn, c) in wanted.items()})
+    # The columns asked for are made before the rows are written, as they may be those of df itself.
+    given = {n: fresh([*df.columns, *wanted], f"{n}_given") for n in wanted}
+    df = df.withColumns({given[n]: c for n, (_, c) in wanted.items()})
+    wanted = {n: (fn, col(given[n])) for n, (fn, _) in wanted.items()}
     row, run = (fresh([*df.columns, *wanted], n) for n in ("row_", "run_"))
     rows = numbered(df, order, row, single).withColumn(run, F.floor(col(row) / block))
     own = rows.withColumns({n: over(fn, c, Window.partitionBy(run).orderBy(row)) for n, (fn, c) in wanted.items()})
@@ -121,4 +125,4 @@ def running(
         n: F.when(col(carry[n]).isNull(), col(n)).when(col(n).isNull(), col(carry[n])).otherwise(RUNNING[fn][1](col(carry[n]), col(n)))
         for n, (fn, _) in wanted.items()
     }
-    return joined.withColumns(both).drop(row, run, *carry.values())
+    return joined.withColumns(both).drop(row, run, *carry.values(), *given.values())
