@@ -1,13 +1,15 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes.
 
-Counts of byte contexts of order 3 and below form a trie. A symbol is coded in the longest known
+Counts of byte contexts of order 4 and below form a trie. A symbol is coded in the longest known
 context; a symbol that it has not seen escapes (method C: as often as the context has distinct
 symbols) to the next shorter one, where the symbols already excluded no longer count. The trie is
 trained on the whole training fold, and as it is fixed while scoring, the code length of each
 (context, symbol) is worked out once; a text's code length is a sum of table look-ups. The contexts of
-order 3 that are met most are looked up in a broadcast table, all others meet theirs in a join.
+orders 3 and 4 that are met most are looked up in a broadcast table, all others meet theirs in a join:
+what a context's code takes more than that of the next shorter one is added to the latter.
 
-Beside it stands a unigram baseline with add-one smoothing, from exact counts of all words.
+Beside it stands a unigram baseline with add-one smoothing, from exact counts of all words. It is no
+probability of the text: it codes no blanks, and gives every unknown word, however long, the same share.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomframe.llm._common import columns_of, id_remainder, map_bytes, staged
 
-ORDER = 3
+ORDER = 4
 #: Before a text, and once after it as its end.
 PAD = b"\0" * ORDER
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -40,19 +42,19 @@ def packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def contexts(buffer: np.ndarray) -> np.ndarray:
-    """At position i >= 3, the three bytes before it in 24 bits."""
-    wide = buffer.astype(np.int32)
-    return (wide[:-3] << 16) | (wide[1:-2] << 8) | wide[2:-1]
+    """At position i >= 4, the four bytes before it in 32 bits; the last three in the lower 24."""
+    wide = buffer.astype(np.int64)
+    return (wide[:-4] << 24) | (wide[1:-3] << 16) | (wide[2:-2] << 8) | wide[3:-1]
 
 
 def gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (context, symbol) in 32 bits, and how often each was coded."""
+    """Distinct (context, symbol) in 40 bits, and how often each was coded."""
     buffer, starts, ends = packed(texts)
-    grams = (contexts(buffer).astype(np.uint32) << np.uint32(8)) | buffer[3:].astype(np.uint32)
+    grams = (contexts(buffer) << 8) | buffer[ORDER:]
     coded = np.zeros(len(buffer) + 1, np.int8)
     coded[starts] += 1
     coded[ends] -= 1
-    return np.unique(grams[np.cumsum(coded[:-1])[3:].astype(bool)], return_counts=True)
+    return np.unique(grams[np.cumsum(coded[:-1])[ORDER:].astype(bool)], return_counts=True)
 
 
 def corpus_counts(train: DataFrame, flush: int = 300_000) -> DataFrame:
@@ -70,7 +72,7 @@ def corpus_counts(train: DataFrame, flush: int = 300_000) -> DataFrame:
         texts_seen = 0
 
         def out():
-            keys = [*words, *(int(g).to_bytes(4, "big") for g in grams), b""]
+            keys = [*words, *(int(g).to_bytes(5, "big") for g in grams), b""]
             kinds = np.repeat([WORD, GRAM, TEXTS], [len(words), len(grams), 1])
             counts = [*words.values(), *grams.values(), texts_seen]
             arrow = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("n", pa.int64())])
@@ -100,20 +102,22 @@ def corpus_counts(train: DataFrame, flush: int = 300_000) -> DataFrame:
 class Trie:
     """Code lengths in bits for the given contexts, dense over the symbols seen.
 
-    keys3, n3: (context, symbol) and count of order 3; keys2, n2: the same of order 2, complete.
-    known: a bit for each of the 2**24 contexts of order 3, whether training met it. Those met but
-    not in keys3 are coded from order 2, and told as missed.
+    keys4, n4: (context, symbol) and count of order 4; keys3, n3: of order 3; keys2, n2: the same of
+    order 2, complete. The contexts of keys4 end in one of keys3. known3: a bit for each of the 2**24
+    contexts of order 3, whether training met it; known4: for each context of keys3, in order, and each
+    byte before it, whether that context of order 4 was met. Those met but not in keys3 or keys4 are
+    coded from the next shorter one here, and told as missed.
     """
 
-    def __init__(self, keys3: np.ndarray, n3: np.ndarray, keys2: np.ndarray, n2: np.ndarray, known: np.ndarray):
+    def __init__(self, keys4, n4, keys3, n3, keys2, n2, known3: np.ndarray, known4: np.ndarray):
         self.key = uuid.uuid4().hex
-        self.known = known
+        self.known3, self.known4 = known3, known4
         seen = np.unique(keys2 & 255)
         #: Symbol -> column; the last column is for a symbol never seen.
         self.column = np.full(256, len(seen), np.int32)
         self.column[seen] = np.arange(len(seen))
         width = len(seen) + 1
-        self.nodes3 = np.unique(keys3 >> 8)
+        self.nodes4, self.nodes3 = np.unique(keys4 >> 8), np.unique(keys3 >> 8)
         nodes2 = np.unique(keys2 >> 8)
         nodes1 = np.unique(nodes2 & 255)
 
@@ -122,6 +126,18 @@ class Trie:
             np.add.at(m, (np.searchsorted(nodes, keys >> 8), self.column[keys & 255]), n)
             return m
 
+        def upper(keys, n, nodes, below, mask, parents, beyond) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Counts, bits and bits once escaped of contexts, some thousand at a time."""
+            made = [(np.empty((0, width), np.float32),) * 3]
+            cuts = np.searchsorted(keys >> 8, nodes[::4096]) if len(keys) else np.zeros(0, int)
+            for i, at in enumerate(cuts):
+                end = cuts[i + 1] if i + 1 < len(cuts) else len(keys)
+                part = nodes[i * 4096 : (i + 1) * 4096]
+                m = matrix(keys[at:end], n[at:end], part)
+                after = self._after_escape(m, parents, np.searchsorted(below, part & mask), beyond)
+                made.append(tuple(x.astype(np.float32) for x in (m, self._code(m, after), after)))
+            return tuple(np.concatenate(x) for x in zip(*made, strict=True))
+
         m2 = matrix(keys2, n2, nodes2)
         m1 = np.zeros((len(nodes1), width))
         np.add.at(m1, np.searchsorted(nodes1, nodes2 & 255), m2)
@@ -135,16 +151,10 @@ class Trie:
         beyond2 = self._after_escape(m2, m1, up2, beyond1)
         row2 = self._code(m2, beyond2)
         self.met2 = m2 > 0
-        rows = [np.empty((0, width))]
-        cuts = np.searchsorted(keys3 >> 8, self.nodes3[::4096]) if len(keys3) else np.zeros(0, int)
-        for i, at in enumerate(cuts):  # the order 3 matrices a few thousand contexts at a time
-            end = cuts[i + 1] if i + 1 < len(cuts) else len(keys3)
-            nodes = self.nodes3[i * 4096 : (i + 1) * 4096]
-            m3 = matrix(keys3[at:end], n3[at:end], nodes)
-            up3 = np.searchsorted(nodes2, nodes & 0xFFFF)
-            rows.append(self._code(m3, self._after_escape(m3, m2, up3, beyond2)).astype(np.float32))
-        #: Rows: order 3 contexts, then order 2, order 1, order 0.
-        self.bits = np.concatenate([x.astype(np.float32) for x in (*rows, row2, row1, row0)])
+        m3, row3, beyond3 = upper(keys3, n3, self.nodes3, nodes2, 0xFFFF, m2, beyond2)
+        row4 = upper(keys4, n4, self.nodes4, self.nodes3, 0xFFFFFF, m3, beyond3)[1]
+        #: Rows: contexts of order 4, then of order 3, 2, 1 and 0.
+        self.bits = np.concatenate([x.astype(np.float32) for x in (row4, row3, row2, row1, row0)])
         self.nodes2, self.nodes1 = nodes2, nodes1
 
     @staticmethod
@@ -165,71 +175,98 @@ class Trie:
         escape = np.where(kinds > 0, whole - np.log2(np.maximum(kinds, 1)), 0)
         return np.where(p > 0, whole - np.log2(np.maximum(p, 1)), escape + beyond[up])
 
-    def index(self) -> np.ndarray:
-        """Context in 24 bits -> row of bits; ~row (below 0) for a context that is told as missed."""
-        n3, n2, n1 = len(self.nodes3), len(self.nodes2), len(self.nodes1)
-        by1 = np.full(256, n3 + n2 + n1, np.int32)
-        by1[self.nodes1] = n3 + n2 + np.arange(n1)
+    def index(self) -> tuple[np.ndarray, np.ndarray]:
+        """Context in 24 bits -> row of bits; ~row (below 0) for a context that is told as missed. And
+        for each context of nodes3 and column of the byte before it -> row of order 4; -1 if that
+        context was not met, -2 if it is told as missed."""
+        n4, n3, n2, n1 = len(self.nodes4), len(self.nodes3), len(self.nodes2), len(self.nodes1)
+        by1 = np.full(256, n4 + n3 + n2 + n1, np.int32)
+        by1[self.nodes1] = n4 + n3 + n2 + np.arange(n1)
         by2 = np.tile(by1, 256)
-        by2[self.nodes2] = n3 + np.arange(n2)
+        by2[self.nodes2] = n4 + n3 + np.arange(n2)
         by3 = np.tile(by2, 256)
-        missed = np.unpackbits(self.known, bitorder="little").astype(bool)
+        missed = np.unpackbits(self.known3, bitorder="little").astype(bool)
         missed[self.nodes3] = False
         by3[missed] = ~by3[missed]
-        by3[self.nodes3] = np.arange(n3)
-        return by3
-
-    def code_lengths(self, texts: list[bytes], index: np.ndarray) -> tuple[np.ndarray, list[list[dict]]]:
-        """Bits of each text with its end, and what each has of missed contexts: the context, the
-        symbol, whether order 2 has met it, and how often it stands there."""
+        by3[self.nodes3] = n4 + np.arange(n3)
+        known = np.flatnonzero(np.unpackbits(self.known4, bitorder="little")[: n3 * 256])
+        by4 = np.full((n3, self.bits.shape[1]), -1, np.int32)
+        by4[known >> 8, self.column[known & 255]] = -2
+        by4[np.searchsorted(self.nodes3, self.nodes4 & 0xFFFFFF), self.column[self.nodes4 >> 24]] = np.arange(n4)
+        return by3, by4
+
+    def code_lengths(self, texts: list[bytes], index: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, list[list[dict]], list[list[dict]]]:
+        """Bits of each text with its end, and what each has of missed contexts of order 3 and of order
+        4: the context, the symbol, how often it stands there, and for order 3 whether order 2 has met
+        the symbol. Of order 4, contexts of which it is not known here whether training met them count."""
         if not texts:
-            return np.zeros(0), []
+            return np.zeros(0), [], []
         buffer, starts, ends = packed(texts)
-        rows = index[contexts(buffer)].astype(np.int64)
-        missed: list[list[dict]] = [[] for _ in texts]
-        at = np.flatnonzero(rows < 0)
-        if len(at):
-            rows[at] = ~rows[at]
-            text = np.searchsorted(starts - 3, at, "right") - 1
-            inside = (text >= 0) & (at < ends[text] - 3)
-            at, text = at[inside], text[inside]
-            met = self.met2[rows[at] - len(self.nodes3), self.column[buffer[at + 3]]]
-            gram = (contexts(buffer)[at].astype(np.int64) << 8) | buffer[at + 3]
-            each, times = np.unique((text << 33) | (gram << 1) | met, return_counts=True)
+        by3, by4 = index
+        context, symbol = contexts(buffer), buffer[ORDER:]
+        rows = by3[context & 0xFFFFFF].astype(np.int64)
+        n4, n3 = len(self.nodes4), len(self.nodes3)
+        lost3 = rows < 0
+        rows[lost3] = ~rows[lost3]
+        lost4 = lost3.copy()
+        dense = np.flatnonzero(~lost3 & (rows < n4 + n3))
+        longer = by4[rows[dense] - n4, self.column[context[dense] >> 24]]
+        lost4[dense[longer == -2]] = True
+        rows[dense[longer >= 0]] = longer[longer >= 0]
+
+        def told(at: np.ndarray, key: np.ndarray, bits: int, name) -> list[list[dict]]:
+            """The distinct keys (of so many bits) at the positions of each text, with their numbers."""
+            out: list[list[dict]] = [[] for _ in texts]
+            text = np.searchsorted(starts - ORDER, at, "right") - 1
+            inside = (text >= 0) & (at < ends[text] - ORDER)
+            each, times = np.unique((text[inside] << bits) | key[inside], return_counts=True)
             for k, n in zip(each.tolist(), times.tolist(), strict=True):
-                missed[k >> 33].append({"context": (k >> 9) & 0xFFFFFF, "symbol": (k >> 1) & 255, "met2": bool(k & 1), "times": n})
-        bits = self.bits.ravel()[rows * self.bits.shape[1] + self.column[buffer[3:]]]
+                out[k >> bits].append(name(k & ((1 << bits) - 1)) | {"times": n})
+            return out
+
+        at = np.flatnonzero(lost3)
+        met = self.met2[rows[at] - n4 - n3, self.column[symbol[at]]]
+        key3 = ((context[at] & 0xFFFFFF) << 9) | (symbol[at].astype(np.int64) << 1) | met
+        missed3 = told(at, key3, 33, lambda k: {"context": k >> 9, "symbol": (k >> 1) & 255, "met2": bool(k & 1)})
+        at = np.flatnonzero(lost4)
+        missed4 = told(at, (context[at] << 8) | symbol[at], 40, lambda k: {"context": k >> 8, "symbol": k & 255})
+        bits = self.bits.ravel()[rows * self.bits.shape[1] + self.column[symbol]]
         cut = np.empty(2 * len(texts), np.int64)
-        cut[0::2], cut[1::2] = starts - 3, ends - 3
+        cut[0::2], cut[1::2] = starts - ORDER, ends - ORDER
         if cut[-1] == len(bits):
             cut = cut[:-1]
-        return np.add.reduceat(bits, cut, dtype=np.float64)[0::2], missed
+        return np.add.reduceat(bits, cut, dtype=np.float64)[0::2], missed3, missed4
 
 
-def all_grams(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """g and n of (context, symbol) grams, of order 3 and of order 2."""
+def all_grams(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """g and n of (context, symbol) grams, of order 4, 3 and 2."""
     grams = counts.where(F.col("kind") == GRAM).select(F.conv(F.hex("key"), 16, 10).cast("long").alias("g"), "n")
-    return grams, grams.groupBy(F.col("g").bitwiseAND(F.lit(0xFFFFFF)).alias("g")).agg(F.sum("n").alias("n"))
+    lower = lambda mask: grams.groupBy(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.sum("n").alias("n"))
+    return grams, lower(0xFFFFFFFF), lower(0xFFFFFF)
 
 
-def known_contexts(grams: DataFrame) -> np.ndarray:
-    """A bit for each context of order 3, set for those of grams: 2 MB, whatever the input."""
-    place = F.shiftright("g", 8) + 1  # buckets hold the values from 1 on
-    buckets = grams.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    known = np.zeros(1 << 21, np.uint8)
+def bitmap(places: DataFrame, size: int) -> np.ndarray:
+    """A bit for each number below size, set for those in the column place."""
+    place = F.col("place") + 1  # buckets hold the values from 1 on
+    buckets = places.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    known = np.zeros(-(-size // 32768) * 4096, np.uint8)
     for b, bits in buckets.collect():
         known[(b - 1) * 4096 : b * 4096] = np.frombuffer(bits, np.uint8)
     return known
 
 
 def train_trie(counts: DataFrame, most_contexts: int) -> Trie:
-    """The trie of order 2 (whole: at most 2**24 grams) and the most_contexts contexts of order 3
-    that are met most. So the driver gets at most 2**24 + 256 *
-    most_contexts counts; all other contexts of order 3 are for context_bits()."""
-    grams, lower = all_grams(counts)
-    context = F.shiftright("g", 8)
-    met = grams.groupBy(context.alias("c")).agg(F.sum("n").alias("met")).orderBy(F.desc("met"), "c").limit(most_contexts)
-    upper = grams.withColumn("c", context).join(met.select("c"), "c", "left_semi").select("g", "n")
+    """The trie of order 2 (whole: at most 2**24 grams) and the most_contexts contexts of order 3 that
+    are met most, and of order 4 of those that end in one of them. So the driver gets at most 2**24 +
+    512 * most_contexts counts, and a bit for each context of order 3 and each byte before one of the
+    former; all other contexts are for context_bits()."""
+    grams4, grams3, grams2 = all_grams(counts)
+    spark = counts.sparkSession
+
+    def frequent(grams: DataFrame) -> DataFrame:
+        named = grams.withColumn("c", F.shiftright("g", 8))
+        met = named.groupBy("c").agg(F.sum("n").alias("met")).orderBy(F.desc("met"), "c").limit(most_contexts)
+        return named.join(met.select("c"), "c", "left_semi").select("g", "n")
 
     def arrays(df):
         table = df.toArrow()
@@ -237,45 +274,56 @@ def train_trie(counts: DataFrame, most_contexts: int) -> Trie:
         order = np.argsort(keys)
         return keys[order], table.column("n").to_numpy().astype(np.float64)[order]
 
-    return Trie(*arrays(upper), *arrays(lower), known_contexts(grams))
-
-
-def context_bits(counts: DataFrame) -> DataFrame:
-    """Of every context of order 3: what a symbol's code takes more than from order 2. context,
-    symbols (those the context has met, by symbol), and for the others after the escape, without the
-    context's symbols: known2 if order 2 has met the symbol, unknown2 if not."""
-    grams, lower = all_grams(counts)
-    by2 = lower.groupBy(F.shiftright("g", 8).alias("c2")).agg(F.sum("n").alias("t2"), F.count("*").alias("k2"))
+    upper3 = arrays(frequent(grams3))
+    nodes3 = np.unique(upper3[0] >> 8)
+    # At most most_contexts rows of two numbers: a bounded broadcast.
+    places = spark.createDataFrame(pa.table({"c3": pa.array(nodes3, pa.int64()), "row": pa.array(np.arange(len(nodes3)), pa.int64())}))
+    ending = grams4.withColumn("c3", F.shiftright("g", 8).bitwiseAND(F.lit(0xFFFFFF))).join(F.broadcast(places), "c3")
+    upper4 = arrays(frequent(ending.select("g", "n")))
+    known3 = bitmap(grams3.select(F.shiftright("g", 8).alias("place")), 1 << 24)
+    known4 = bitmap(ending.select((F.col("row") * 256 + F.shiftright("g", 32)).alias("place")), len(nodes3) * 256)
+    return Trie(*upper4, *upper3, *arrays(grams2), known3, known4)
+
+
+def context_bits(grams: DataFrame, lower: DataFrame, bits: int) -> DataFrame:
+    """Of every context of grams: what a symbol's code takes more than from the next shorter context,
+    whose grams (of so many bits) are lower. context, symbols (those the context has met, by symbol),
+    and for the others after the escape, without the context's symbols: known if the shorter context has
+    met the symbol, unknown if not; and shorter, the symbols that the shorter one has met."""
+    mask = (1 << bits) - 1
+    symbol = F.col("g").bitwiseAND(F.lit(255)).cast("int")
+    below = lower.groupBy(F.shiftright("g", 8).alias("c2")).agg(F.sum("n").alias("t2"), F.count("*").alias("k2"), F.collect_list(symbol).alias("shorter"))
     whole2 = F.log2(F.col("t2") + F.col("k2"))
     lower = lower.select(F.col("g").alias("g2"), F.col("n").alias("n2"))
-    each = grams.withColumn("g2", F.col("g").bitwiseAND(F.lit(0xFFFFFF))).join(lower, "g2")
-    by3 = (
+    each = grams.withColumn("g2", F.col("g").bitwiseAND(F.lit(mask))).join(lower, "g2")
+    own = (
         each.groupBy(F.shiftright("g", 8).alias("context"))
         .agg(
             F.sum("n").alias("t3"),
             F.count("*").alias("k3"),
             F.sum("n2").alias("gone"),
-            F.collect_list(F.struct(F.col("g").bitwiseAND(F.lit(255)).cast("int").alias("s"), (F.log2("n2") - F.log2("n")).alias("more"))).alias("own"),
+            F.collect_list(F.struct(symbol.alias("s"), (F.log2("n2") - F.log2("n")).alias("more"))).alias("own"),
         )
-        .withColumn("c2", F.col("context").bitwiseAND(F.lit(0xFFFF)))
-        .join(by2, "c2")
+        .withColumn("c2", F.col("context").bitwiseAND(F.lit(mask >> 8)))
+        .join(below, "c2")
     )
     whole3 = F.log2(F.col("t3") + F.col("k3"))
     kinds = F.col("k2") - F.col("k3")
     left = F.log2(F.col("t2") - F.col("gone") + kinds)
     escape = whole3 - F.log2("k3")
-    return by3.select(
+    return own.select(
         "context",
         F.map_from_entries(F.transform("own", lambda x: F.struct(x["s"], whole3 - whole2 + x["more"]))).alias("symbols"),
-        F.when(kinds > 0, escape + left - whole2).alias("known2"),
-        (escape + F.when(kinds > 0, left - F.log2(kinds)).otherwise(0.0) - whole2 + F.log2("k2")).alias("unknown2"),
+        F.when(kinds > 0, escape + left - whole2).alias("known"),
+        (escape + F.when(kinds > 0, left - F.log2(kinds)).otherwise(0.0) - whole2 + F.log2("k2")).alias("unknown"),
+        "shorter",
     )
 
 
-_indexes: dict[str, np.ndarray] = {}
+_indexes: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _index_of(trie: Trie) -> np.ndarray:
+def _index_of(trie: Trie) -> tuple[np.ndarray, np.ndarray]:
     if trie.key not in _indexes:
         _indexes.clear()
         _indexes[trie.key] = trie.index()
@@ -298,7 +346,7 @@ def frequent_words(words: DataFrame, most: int) -> tuple[dict[bytes, float], int
 
 
 def score_texts(
-    docs: DataFrame, held_out: int = 2, folds: int = 7, table_words: int = 100_000, most_contexts: int = 60_000
+    docs: DataFrame, held_out: int = 2, folds: int = 7, table_words: int = 100_000, most_contexts: int = 30_000
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -306,8 +354,8 @@ def score_texts(
     lower-cased text and its end). Both learn from the rows whose crc32(doc_id) mod folds is not
     held_out; a null id is learnt from. A null text counts as empty: one token, its end. Words are
     looked up in a broadcast table of at most table_words frequent ones; all others meet their
-    counts in a join by word. So are contexts of order 3 in one of the most_contexts met most; all
-    others seen meet their code lengths in a join by context. With nothing to learn from both scores are those of empty models.
+    counts in a join by word. So are contexts in one of the most_contexts of order 3 and of order 4 met
+    most; all others seen meet their code lengths in a join by context. With nothing to learn from both scores are those of empty models.
     """
     rows = columns_of(docs, "doc_id", "text").select(
         "doc_id", F.coalesce(id_remainder(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "text"
@@ -327,10 +375,10 @@ def score_texts(
         [
             T.StructField("context", T.LongType()),
             T.StructField("symbol", T.IntegerType()),
-            T.StructField("met2", T.BooleanType()),
             T.StructField("times", T.LongType()),
         ]
     )
+    in_context3 = T.StructType([*in_context.fields, T.StructField("met2", T.BooleanType())])
     schema = T.StructType(
         [
             *rows.drop("text").schema.fields,
@@ -340,7 +388,8 @@ def score_texts(
             T.StructField("part", T.DoubleType()),
             T.StructField("bits", T.DoubleType()),
             T.StructField("missed", T.ArrayType(missed)),
-            T.StructField("contexts", T.ArrayType(in_context)),
+            T.StructField("contexts3", T.ArrayType(in_context3)),
+            T.StructField("contexts4", T.ArrayType(in_context)),
         ]
     )
 
@@ -358,15 +407,16 @@ def score_texts(
             part.append(sum(parts) + end_part)
             rest = Counter(w for w, x in zip(tokens, found, strict=True) if x is None)
             misses.append([{"key": k, "times": n} for k, n in rest.items()])
-        bits, seldom_met, held, at = [], [], 0, 0
+        bits, seldom3, seldom4, held, at = [], [], [], 0, 0
         for i, t in enumerate(texts):  # about a megabyte at a time, for the arrays made of it
             held += len(t)
             if held > 1 << 20 or i + 1 == len(texts):
-                more, without = trie.code_lengths(texts[at : i + 1], index)
+                more, missed3, missed4 = trie.code_lengths(texts[at : i + 1], index)
                 bits += more.tolist()
-                seldom_met += without
+                seldom3 += missed3
+                seldom4 += missed4
                 held, at = 0, i + 1
-        return others | {"n_tokens": n_tokens, "known": known, "part": part, "bits": bits, "missed": misses, "contexts": seldom_met}
+        return others | {"n_tokens": n_tokens, "known": known, "part": part, "bits": bits, "missed": misses, "contexts3": seldom3, "contexts4": seldom4}
 
     scored = staged(map_bytes(rows.withColumn("row_id", F.monotonically_increasing_id()), run, schema), "scored")
     seldom = words.where(F.floor(F.log2("n") * 4).cast("int") < cut)
@@ -377,16 +427,19 @@ def score_texts(
         .groupBy("row_id")
         .agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_part"))
     )
-    more_bits = F.coalesce(F.col("symbols")[F.col("symbol")], F.when(F.col("met2"), F.col("known2")).otherwise(F.col("unknown2")))
-    seldom_coded = (
-        scored.select("row_id", F.explode("contexts").alias("m"))
-        .select("row_id", "m.context", "m.symbol", "m.met2", "m.times")
-        .join(context_bits(counts), "context")
-        .groupBy("row_id")
-        .agg(F.sum(F.col("times") * more_bits).alias("more_bits"))
-    )
+    grams4, grams3, grams2 = all_grams(counts)
+
+    def coded(contexts: str, lengths: DataFrame, met: Column) -> DataFrame:
+        """row_id and what its missed contexts of an order add."""
+        more = F.coalesce(F.col("symbols")[F.col("symbol")], F.when(met, F.col("known")).otherwise(F.col("unknown")))
+        missed = scored.select("row_id", F.explode(contexts).alias("m")).select("row_id", "m.*")
+        return missed.join(lengths, "context").select("row_id", (F.col("times") * more).alias("more"))
+
+    added = coded("contexts3", context_bits(grams3, grams2, 24).drop("shorter"), F.col("met2"))
+    added = added.unionByName(coded("contexts4", context_bits(grams4, grams3, 32), F.array_contains("shorter", F.col("symbol"))))
+    seldom_coded = added.groupBy("row_id").agg(F.sum("more").alias("more_bits"))
     return (
-        scored.drop("missed", "contexts")
+        scored.drop("missed", "contexts3", "contexts4")
         .join(met, "row_id", "left")
         .join(seldom_coded, "row_id", "left")
         .select(

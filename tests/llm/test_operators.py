@@ -448,20 +448,20 @@ def test_unigram_baseline(docs):
 def test_ppm_against_a_plain_coder(docs):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-    seen = [defaultdict(Counter) for _ in range(4)]
-    stream = lambda t: b"\0\0\0" + (t or "").encode().translate(low) + b"\0"
+    seen = [defaultdict(Counter) for _ in range(5)]
+    stream = lambda t: b"\0\0\0\0" + (t or "").encode().translate(low) + b"\0"
     for r in ROWS:
         if not held(r[0]):
             s = stream(r[1])
-            for i in range(3, len(s)):
-                for o in range(4):
+            for i in range(4, len(s)):
+                for o in range(5):
                     seen[o][s[i - o : i]][s[i]] += 1
 
     def bits(text):
         s, total = stream(text), 0.0
-        for i in range(3, len(s)):
+        for i in range(4, len(s)):
             gone = set()
-            for o in (3, 2, 1, 0):
+            for o in (4, 3, 2, 1, 0):
                 here = seen[o].get(s[i - o : i], Counter())
                 left = {a: n for a, n in here.items() if a not in gone}
                 if not left:
