@@ -64,10 +64,12 @@ def lengths(model, tokens: list[str]) -> list[int]:
     return [len(ids) if t else alone for t, ids in zip(tokens, model.encode(tokens, num_threads=1), strict=True)]
 
 
-def frequent_lengths(docs: DataFrame, path: str, sample_rows: int, entries: int) -> dict[str, int]:
-    """The table to broadcast: at most entries pre-tokens, from at most sample_rows rows."""
+def frequent_lengths(docs: DataFrame, path: str, sample_rows: int, entries: int, text_bytes: int = 1 << 16) -> dict[str, int]:
+    """The table to broadcast: at most entries pre-tokens, from at most sample_rows rows of at most
+    text_bytes each, so that the driver holds a bounded number of bytes."""
     seen: Counter[str] = Counter()
-    for row in docs.select("text").where(F.col("text").isNotNull()).limit(sample_rows).toLocalIterator():
+    short = docs.select("text").where(F.octet_length("text") <= text_bytes)
+    for row in short.limit(sample_rows).toLocalIterator():
         seen.update(pre_tokens(row[0]))
     tokens = [t for t, _ in seen.most_common(entries) if len(t) <= 64]
     return dict(zip(tokens, lengths(load(path), tokens), strict=True)) if tokens else {}
