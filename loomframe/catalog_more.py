@@ -471,6 +471,20 @@ query(
 )(lambda t: t.lineitem.plot.hexbin("l_quantity", "l_extendedprice", 8))
 query("viz_06_scatter_matrix", "SELECT p_size::DOUBLE AS p_size, p_retailprice FROM part")(lambda t: t.part.plot.scatter_matrix("p_size", "p_retailprice")[("p_size", "p_retailprice")])
 
+
+
+def _drawn(t: Tables, kind: str, *names: str):
+    path = scratch(t.spark, "plot") + ".svg"
+    t.part.plot.save_svg(path, kind, *names)
+    return t.spark.read.text(path)
+
+
+query("viz_08_save", "SELECT count(*) AS points, 10::BIGINT AS bars FROM part")(
+    lambda t: _drawn(t, "scatter", "p_size", "p_retailprice").agg(F.sum(C("value").startswith("<circle").cast("long")).alias("points")).crossJoin(
+        _drawn(t, "hist", "p_retailprice").agg(F.sum(C("value").startswith("<rect").cast("long")).alias("bars"))
+    )
+)
+
 # ---------------------------------------------------------------- databases
 
 

@@ -147,3 +147,48 @@ def test_jdbc_round_trip(spark, data, tmp_path):
     assert jdbc.read_query(spark, engine, 'SELECT "i" FROM t1 WHERE "i" > ?', 2).row_count() == 2
     with pytest.raises(FrameError):
         jdbc.write_table(data, jdbc.Engine("derby", path="x", read_only=True), "t1")
+
+
+def test_svg(data, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    for kind, names in (("line", ("i", "x")), ("scatter", ("i", "x")), ("hist", ("x",)), ("bar", ("i", "x"))):
+        data.plot.save_svg(f"{tmp_path}/{kind}.svg", kind, *names)
+        assert ET.parse(f"{tmp_path}/{kind}.svg").getroot().tag.endswith("svg")
+    with pytest.raises(FrameError):
+        data.plot.save_svg(f"{tmp_path}/x.svg", "pie", "i", "x")
+    with pytest.raises(FrameError):
+        data.plot.save_svg(f"{tmp_path}/x.svg", "scatter", "i", "x", most=1)
+
+
+def test_transactions_and_sessions(spark, tmp_path):
+    from dataclasses import dataclass
+
+    @dataclass
+    class Item:
+        id: int
+        name: str
+
+    with jdbc.Connection(spark, jdbc.Engine("derby", path=f"{tmp_path}/db")) as c:
+        c.execute("CREATE TABLE items (id INT PRIMARY KEY, name VARCHAR(20))")
+        items = jdbc.Session(c, Item, "items", "id")
+        assert items.insert(Item(1, "a")) == 1 and items.find_by_id(1) == Item(1, "a") and items.find_by_id(2) is None
+        with pytest.raises(ValueError), c.transaction():
+            items.insert(Item(2, "b"))
+            raise ValueError
+        assert items.list() == [Item(1, "a")]
+        with c.transaction():
+            items.insert(Item(3, "x'; --"))
+        assert items.update(Item(3, "y")) == 1 and items.delete(1) == 1 and items.list() == [Item(3, "y")]
+        with pytest.raises(FrameError):
+            jdbc.Session(c, Item, "items; DROP TABLE items", "id")
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from loomframe.functions import scratch
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://x:7077"))
+    with pytest.raises(FrameError):
+        scratch.root(cluster)
