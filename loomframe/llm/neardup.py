@@ -420,20 +420,24 @@ def remaining_links(
                     c = parent[c]
                 return c
 
-            sets: dict[int, set] = {}
+            hashes: dict[int, np.ndarray] = {}
             held = 0
             for x, y in zip(*(k.tolist() for k in block.close(start, end, threshold, most)), strict=True):
                 p, q = root(int(block.component[x])), root(int(block.component[y]))
                 if p == q:
                     continue
                 if held > 2_000_000:
-                    sets.clear()
+                    hashes.clear()
                     held = 0
                 for k in (x, y):
-                    if k not in sets:
-                        sets[k] = shingle_set(raw[k].as_py(), shingle)
-                        held += len(sets[k])
-                if reaches(sets[x], sets[y], percent):
+                    if k not in hashes:
+                        hashes[k] = shingle_hashes(raw[k].as_py(), shingle)
+                        held += len(hashes[k])
+                # The sets' 64-bit hashes dismiss most pairs; the shingles themselves confirm.
+                shared = len(np.intersect1d(hashes[x], hashes[y], assume_unique=True))
+                if 100 * shared < percent * (len(hashes[x]) + len(hashes[y]) - shared):
+                    continue
+                if reaches(*(shingle_set(raw[k].as_py(), shingle) for k in (x, y)), percent):
                     parent[p] = q
                     out.append(tuple(sorted((node[x].as_py(), node[y].as_py()))))
         a, b = ([r[k] for r in out] for k in (0, 1))
