@@ -43,18 +43,35 @@ def packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def contexts(buffer: np.ndarray) -> np.ndarray:
     """At position i >= 4, the four bytes before it in 32 bits; the last three in the lower 24."""
-    wide = buffer.astype(np.int64)
-    return (wide[:-4] << 24) | (wide[1:-3] << 16) | (wide[2:-2] << 8) | wide[3:-1]
+    out = buffer[:-4].astype(np.int64)
+    for i in range(1, 4):
+        out <<= 8
+        out |= buffer[i : i - 4]
+    return out
 
 
 def gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (context, symbol) in 40 bits, and how often each was coded."""
     buffer, starts, ends = packed(texts)
-    grams = (contexts(buffer) << 8) | buffer[ORDER:]
+    grams = contexts(buffer)
+    grams <<= 8
+    grams |= buffer[ORDER:]
     coded = np.zeros(len(buffer) + 1, np.int8)
     coded[starts] += 1
     coded[ends] -= 1
-    return np.unique(grams[np.cumsum(coded[:-1])[ORDER:].astype(bool)], return_counts=True)
+    return np.unique(grams[np.cumsum(coded[:-1], dtype=np.int8)[ORDER:].astype(bool)], return_counts=True)
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of parts (keys, counts), and the sums of their counts."""
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
+def lists(offsets, **columns: pa.Array) -> pa.ListArray:
+    """Structs of the columns, those from one offset to the next in a list. Python objects made of
+    each would take some ten times the memory."""
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
 
 
 def corpus_counts(train: DataFrame, flush: int = 300_000) -> DataFrame:
@@ -68,17 +85,18 @@ def corpus_counts(train: DataFrame, flush: int = 300_000) -> DataFrame:
         from loomframe.llm._common import split_batch
 
         words: Counter = Counter()
-        grams: Counter = Counter()
+        grams = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         texts_seen = 0
 
         def out():
-            keys = [*words, *(int(g).to_bytes(5, "big") for g in grams), b""]
-            kinds = np.repeat([WORD, GRAM, TEXTS], [len(words), len(grams), 1])
-            counts = [*words.values(), *grams.values(), texts_seen]
+            g, n = summed(grams)
+            five = np.ascontiguousarray(g.astype(">i8").view(np.uint8).reshape(-1, 8)[:, 3:])
+            packed_grams = pa.FixedSizeBinaryArray.from_buffers(pa.binary(5), len(g), [None, pa.py_buffer(five)])
+            keys = [pa.array(list(words), pa.binary()), packed_grams.cast(pa.binary()), pa.array([b""], pa.binary())]
+            kinds = np.repeat(np.array([WORD, GRAM, TEXTS], np.int32), [len(words), len(g), 1])
+            counts = [pa.array(list(words.values()), pa.int64()), pa.array(n), pa.array([texts_seen], pa.int64())]
             arrow = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("n", pa.int64())])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(kinds, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], schema=arrow
-            )
+            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.concat_arrays(keys), pa.concat_arrays(counts)], schema=arrow)
 
         for batch in batches:
             for _, texts in split_batch(batch, "text", 1 << 20):
@@ -86,13 +104,13 @@ def corpus_counts(train: DataFrame, flush: int = 300_000) -> DataFrame:
                 texts_seen += len(texts)
                 for t in texts:
                     words.update(t.lower().split())
-                keys, n = gram_counts(texts)
-                for k, c in zip(keys.tolist(), n.tolist(), strict=True):
-                    grams[k] += c
-                if len(words) + len(grams) > flush:
+                grams.append(gram_counts(texts))
+                if len(words) + sum(len(k) for k, _ in grams) > flush:
+                    grams[:] = [summed(grams)]
+                if len(words) + sum(len(k) for k, _ in grams) > flush:
                     yield out()
                     words.clear()
-                    grams.clear()
+                    grams[:] = [tuple(x[:0] for x in grams[0])]
                     texts_seen = 0
         yield out()
 
@@ -175,62 +193,70 @@ class Trie:
         escape = np.where(kinds > 0, whole - np.log2(np.maximum(kinds, 1)), 0)
         return np.where(p > 0, whole - np.log2(np.maximum(p, 1)), escape + beyond[up])
 
-    def index(self) -> tuple[np.ndarray, np.ndarray]:
-        """Context in 24 bits -> row of bits; ~row (below 0) for a context that is told as missed. And
-        for each context of nodes3 and column of the byte before it -> row of order 4; -1 if that
-        context was not met, -2 if it is told as missed."""
+    def index(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where a context's row of bits is. First two bytes of a context of nodes3 -> where its page
+        begins; there, by third byte, its row, -1 where nodes3 has no such context. Last two bytes -> the row of order
+        2 or below. And for each context of nodes3 and column of the byte before it -> row of order 4;
+        -1 if that context was not met, -2 if it is told as missed. A table of all 2**24 contexts would
+        be 64 MB in each worker; the pages are at most as many as nodes3, of 1 KB each."""
         n4, n3, n2, n1 = len(self.nodes4), len(self.nodes3), len(self.nodes2), len(self.nodes1)
         by1 = np.full(256, n4 + n3 + n2 + n1, np.int32)
         by1[self.nodes1] = n4 + n3 + n2 + np.arange(n1)
         by2 = np.tile(by1, 256)
         by2[self.nodes2] = n4 + n3 + np.arange(n2)
-        by3 = np.tile(by2, 256)
-        missed = np.unpackbits(self.known3, bitorder="little").astype(bool)
-        missed[self.nodes3] = False
-        by3[missed] = ~by3[missed]
-        by3[self.nodes3] = n4 + np.arange(n3)
+        first2 = np.unique(self.nodes3 >> 8)
+        page = np.zeros(1 << 16, np.int32)  # the first page is empty
+        page[first2] = 256 * (1 + np.arange(len(first2)))
+        pages = np.full(256 * (len(first2) + 1), -1, np.int32)
+        pages[page[self.nodes3 >> 8] + (self.nodes3 & 255)] = n4 + np.arange(n3)
         known = np.flatnonzero(np.unpackbits(self.known4, bitorder="little")[: n3 * 256])
         by4 = np.full((n3, self.bits.shape[1]), -1, np.int32)
         by4[known >> 8, self.column[known & 255]] = -2
         by4[np.searchsorted(self.nodes3, self.nodes4 & 0xFFFFFF), self.column[self.nodes4 >> 24]] = np.arange(n4)
-        return by3, by4
+        return page, pages, by2, by4
 
-    def code_lengths(self, texts: list[bytes], index: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, list[list[dict]], list[list[dict]]]:
+    def code_lengths(self, texts: list[bytes], index: tuple[np.ndarray, ...]) -> tuple[np.ndarray, pa.ListArray, pa.ListArray]:
         """Bits of each text with its end, and what each has of missed contexts of order 3 and of order
         4: the context, the symbol, how often it stands there, and for order 3 whether order 2 has met
         the symbol. Of order 4, contexts of which it is not known here whether training met them count."""
-        if not texts:
-            return np.zeros(0), [], []
         buffer, starts, ends = packed(texts)
-        by3, by4 = index
+        page, pages, by2, by4 = index
         context, symbol = contexts(buffer), buffer[ORDER:]
-        rows = by3[context & 0xFFFFFF].astype(np.int64)
+        last3 = context & 0xFFFFFF
+        rows = pages[page[last3 >> 8] + (last3 & 255)].astype(np.int64)
         n4, n3 = len(self.nodes4), len(self.nodes3)
-        lost3 = rows < 0
-        rows[lost3] = ~rows[lost3]
+        dense, shorter = np.flatnonzero(rows >= 0), np.flatnonzero(rows < 0)
+        last3 = last3[shorter]
+        rows[shorter] = by2[last3 & 0xFFFF]
+        lost3 = np.zeros(len(rows), bool)
+        lost3[shorter] = (self.known3[last3 >> 3] >> (last3 & 7)) & 1
         lost4 = lost3.copy()
-        dense = np.flatnonzero(~lost3 & (rows < n4 + n3))
         longer = by4[rows[dense] - n4, self.column[context[dense] >> 24]]
         lost4[dense[longer == -2]] = True
         rows[dense[longer >= 0]] = longer[longer >= 0]
 
-        def told(at: np.ndarray, key: np.ndarray, bits: int, name) -> list[list[dict]]:
-            """The distinct keys (of so many bits) at the positions of each text, with their numbers."""
-            out: list[list[dict]] = [[] for _ in texts]
+        def told(at: np.ndarray, key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+            """The distinct keys (of so many bits) at the positions of each text, where each text's
+            begin and the last one's end, and how often each key stands there."""
             text = np.searchsorted(starts - ORDER, at, "right") - 1
             inside = (text >= 0) & (at < ends[text] - ORDER)
             each, times = np.unique((text[inside] << bits) | key[inside], return_counts=True)
-            for k, n in zip(each.tolist(), times.tolist(), strict=True):
-                out[k >> bits].append(name(k & ((1 << bits) - 1)) | {"times": n})
-            return out
+            return np.searchsorted(each >> bits, np.arange(len(texts) + 1)), each & ((1 << bits) - 1), pa.array(times, pa.int64())
+
+        def byte(symbols: np.ndarray) -> pa.Array:
+            return pa.array((symbols & 255).astype(np.int32))
 
         at = np.flatnonzero(lost3)
         met = self.met2[rows[at] - n4 - n3, self.column[symbol[at]]]
         key3 = ((context[at] & 0xFFFFFF) << 9) | (symbol[at].astype(np.int64) << 1) | met
-        missed3 = told(at, key3, 33, lambda k: {"context": k >> 9, "symbol": (k >> 1) & 255, "met2": bool(k & 1)})
+        offsets, key, times = told(at, key3, 33)
+        missed3 = lists(offsets, context=pa.array(key >> 9), symbol=byte(key >> 1), times=times, met2=pa.array((key & 1).astype(bool)))
         at = np.flatnonzero(lost4)
-        missed4 = told(at, (context[at] << 8) | symbol[at], 40, lambda k: {"context": k >> 8, "symbol": k & 255})
-        bits = self.bits.ravel()[rows * self.bits.shape[1] + self.column[symbol]]
+        offsets, key, times = told(at, (context[at] << 8) | symbol[at], 40)
+        missed4 = lists(offsets, context=pa.array(key >> 8), symbol=byte(key), times=times)
+        rows *= self.bits.shape[1]
+        rows += self.column[symbol]
+        bits = self.bits.ravel()[rows]
         cut = np.empty(2 * len(texts), np.int64)
         cut[0::2], cut[1::2] = starts - ORDER, ends - ORDER
         if cut[-1] == len(bits):
@@ -320,10 +346,10 @@ def context_bits(grams: DataFrame, lower: DataFrame, bits: int) -> DataFrame:
     )
 
 
-_indexes: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+_indexes: dict[str, tuple[np.ndarray, ...]] = {}
 
 
-def _index_of(trie: Trie) -> tuple[np.ndarray, np.ndarray]:
+def _index_of(trie: Trie) -> tuple[np.ndarray, ...]:
     if trie.key not in _indexes:
         _indexes.clear()
         _indexes[trie.key] = trie.index()
@@ -397,7 +423,7 @@ def score_texts(
         table, trie = shared.value
         index = _index_of(trie)
         texts = [t or b"" for t in texts]
-        n_tokens, known, part, misses = [], [], [], []
+        n_tokens, known, part, keys, times, offsets = [], [], [], [], [], [0]
         for t in texts:
             tokens = t.lower().split()
             found = list(map(table.get, tokens))
@@ -406,17 +432,21 @@ def score_texts(
             known.append(len(parts) + (ends > 0))
             part.append(sum(parts) + end_part)
             rest = Counter(w for w, x in zip(tokens, found, strict=True) if x is None)
-            misses.append([{"key": k, "times": n} for k, n in rest.items()])
+            keys += rest.keys()
+            times += rest.values()
+            offsets.append(len(keys))
+        misses = lists(offsets, key=pa.array(keys, pa.binary()), times=pa.array(times, pa.int64()))
         bits, seldom3, seldom4, held, at = [], [], [], 0, 0
-        for i, t in enumerate(texts):  # about a megabyte at a time, for the arrays made of it
+        for i, t in enumerate(texts):  # some 128 KB at a time, for the arrays of 8 bytes a position made of it
             held += len(t)
-            if held > 1 << 20 or i + 1 == len(texts):
+            if held > 1 << 17 or i + 1 == len(texts):
                 more, missed3, missed4 = trie.code_lengths(texts[at : i + 1], index)
                 bits += more.tolist()
-                seldom3 += missed3
-                seldom4 += missed4
+                seldom3.append(missed3)
+                seldom4.append(missed4)
                 held, at = 0, i + 1
-        return others | {"n_tokens": n_tokens, "known": known, "part": part, "bits": bits, "missed": misses, "contexts3": seldom3, "contexts4": seldom4}
+        seldom = {"contexts3": pa.concat_arrays(seldom3), "contexts4": pa.concat_arrays(seldom4)}
+        return others | seldom | {"n_tokens": n_tokens, "known": known, "part": part, "bits": bits, "missed": misses}
 
     scored = staged(map_bytes(rows.withColumn("row_id", F.monotonically_increasing_id()), run, schema), "scored")
     seldom = words.where(F.floor(F.log2("n") * 4).cast("int") < cut)

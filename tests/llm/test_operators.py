@@ -6,9 +6,11 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -489,6 +491,37 @@ def test_contexts_beyond_the_broadcast_table(docs):
         assert all(g["score"] == pytest.approx(want[i][0]["score"], rel=1e-5) for i, rs in got.items() for g in rs)
 
 
+def test_ppm_workers_hold_little():
+    """The lookups and what a text has of missed contexts take few bytes for each, and lose none."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 113, 100_000, dtype=np.uint8)) for _ in range(2)]
+
+    def lower(keys, n, mask):
+        low, at = np.unique(keys & mask, return_inverse=True)
+        return low, np.bincount(at, n)
+
+    keys4, n4 = ppm.gram_counts(texts)
+    keys3, n3 = lower(keys4, n4, 0xFFFFFFFF)
+    held = (keys3 >> 8) % 16 == 0  # a sixteenth of the contexts of order 3, and no longer one
+    nodes3 = np.unique(keys3[held] >> 8)
+    known3, known4 = np.zeros(1 << 24, bool), np.zeros(256 * len(nodes3), bool)
+    known3[keys3 >> 8] = True
+    ends_held = np.isin((keys4 >> 8) & 0xFFFFFF, nodes3)
+    known4[np.searchsorted(nodes3, (keys4[ends_held] >> 8) & 0xFFFFFF) * 256 + (keys4[ends_held] >> 32)] = True
+    bits = [np.packbits(x, bitorder="little") for x in (known3, known4)]
+    trie = ppm.Trie(keys4[:0], n4[:0], keys3[held], n3[held], *lower(keys4, n4, 0xFFFFFF), *bits)
+    tracemalloc.start()
+    index = trie.index()
+    _, missed3, missed4 = trie.code_lengths(texts, index)
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    times = [[sum(m["times"] for m in (t if isinstance(t, list) else t.as_py())) for t in missed] for missed in (missed3, missed4)]
+    for k, t in enumerate(texts):
+        last = list(zip(*[(b"\0\0\0" + t)[i:] for i in range(3)], strict=False))
+        assert times[0][k] == sum(c[2] % 16 != 0 for c in last) and times[1][k] == len(t) + 1
+    assert most < 40, most
+
+
 # ---------------------------------------------------------------- 6 secrets
 
 
