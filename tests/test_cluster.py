@@ -10,7 +10,7 @@ import pytest
 from loomframe import registry
 from test_contract import DATA, duck, normal, pytestmark  # noqa: F401
 
-QUERIES = ["rel_01_transactions", "rel_04_sql_builder"]
+QUERIES = ["rel_01_transactions", "rel_04_sql_builder", "src_27_jdbc_query"]
 
 #: TMPDIR is relative to the process, so that the driver's temporary files mean nothing to executors.
 RUN = """
@@ -57,3 +57,28 @@ def test_on_a_cluster(got, duck, name):  # noqa: F811
     names = [c[0] for c in result.description]
     assert sorted(names) == columns
     assert normal(rows) == normal([tuple(r[names.index(n)] for n in columns) for r in result.fetchall()])
+
+
+def test_what_passes_through_the_driver(spark, tmp_path, monkeypatch):
+    """Kinds, missing values and pieces of few rows, as without the detour."""
+    from loomframe.frame import Frame
+    from loomframe.sources import jdbc
+
+    df = spark.range(1300).repartition(3).selectExpr(
+        "id", "if(id % 5 = 0, null, id / 7) AS x", "if(id % 3 = 0, null, concat('ä', id)) AS s", "id % 2 = 0 AS b",
+        "date_add(DATE '2020-02-28', int(id)) AS d", "timestamp_ntz '2020-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) AS t", "cast(id AS decimal(9, 2)) AS n", "cast('z' AS binary) AS y",
+    )
+    all_rows = lambda f: sorted(map(tuple, f.df.collect()))
+    read = lambda e: (all_rows(jdbc.read_table(spark, e, "t", '"id"', 2)), all_rows(jdbc.read_query(spark, e, 'SELECT "s", "t" FROM t WHERE "id" = ?', 1)), jdbc.read_table(spark, e, "bare"))
+    engines = [jdbc.Engine("derby", path=f"{tmp_path}/{k}") for k in "ab"]
+    got = []
+    for e in engines:
+        jdbc.write_table(Frame(df), e, "t")
+        jdbc.write_table(Frame(df.limit(2)), e, "t", "append", batch=1)
+        jdbc.write_table(Frame(df.limit(0)), e, "bare")
+        got.append(read(e))
+        monkeypatch.setattr(jdbc, "one_process", lambda _: False)
+        monkeypatch.setattr(jdbc, "PIECE", 200_000)
+        monkeypatch.setattr(jdbc, "FETCH", 60)
+    assert got[0][:2] == got[1][:2] and len(got[1][0]) == 1302
+    assert got[0][2].df.dtypes == got[1][2].df.dtypes and got[1][2].df.isEmpty()
