@@ -10,7 +10,7 @@ import pytest
 from loomframe import registry
 from test_contract import DATA, duck, normal, pytestmark  # noqa: F401
 
-QUERIES = ["rel_01_transactions", "rel_04_sql_builder", "src_27_jdbc_query", "src_28_jdbc_table"]
+QUERIES = ["rel_01_transactions", "rel_04_sql_builder", "src_27_jdbc_query", "src_28_jdbc_table", "src_29_jdbc_write"]
 
 #: TMPDIR is relative to the process, so that the driver's temporary files mean nothing to executors.
 RUN = """
