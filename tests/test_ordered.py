@@ -97,3 +97,11 @@ def test_what_follows_is_looked_at_once(spark, limits):
         held = held if x is None else x
         want[i] = held
     assert {r["id"]: r["n"] for r in out.collect()} == want
+
+
+def test_interpolation_looks_ahead_once(spark, monkeypatch):
+    f = Frame(spark.range(600).select("id", (F.col("id") % 3).alias("k"), F.when(F.col("id") % 5 == 0, F.col("id") * 2.0).alias("x")), "id")
+    for partition in ([], ["k"]):
+        out = f.interpolate("x", partition_by=partition)
+        assert "unboundedfollowing" not in out.df._jdf.queryExecution().toString().lower()
+    assert {r["x"] - 2 * r["id"] for r in f.interpolate("x").df.where("id <= 595").collect()} == {0.0}
