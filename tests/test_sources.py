@@ -192,3 +192,21 @@ def test_scratch_needs_a_shared_folder():
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://x:7077"))
     with pytest.raises(FrameError):
         scratch.root(cluster)
+
+
+def test_svg_of_all_points(spark, tmp_path):
+    """However many there are; bars in the frame's order, lines in that of x."""
+    import re
+    import xml.etree.ElementTree as ET
+
+    df = spark.range(12_345).repartition(3).selectExpr("id", "id * 2.0 AS x", "if(id = 7, null, id % 50.0) AS y")
+    frame(df, "id").plot.save_svg(f"{tmp_path}/s.svg", "scatter", "x", "y")
+    assert open(f"{tmp_path}/s.svg").read().count("\n<circle ") == 12_344
+    frame(df, "id").plot.save_svg(f"{tmp_path}/l.svg", "line", "x", "y")
+    points = [float(p.split(",")[0]) for p in re.search('points="([^"]*)"', open(f"{tmp_path}/l.svg").read())[1].split(" ")]
+    assert len(points) == 12_344 and points == sorted(points)
+    frame(spark.createDataFrame([("c<", 3.0), ("a", -1.0), ("b", 2.0)], "k string, v double")).plot.save_svg(f"{tmp_path}/b.svg", "bar", "k", "v")
+    text = open(f"{tmp_path}/b.svg").read()
+    assert re.findall("middle\">([^<]*)<", text) == ["c&lt;", "a", "b"] and text.count("<rect ") == 3
+    frame(df.limit(0), "id").plot.save_svg(f"{tmp_path}/e.svg", "scatter", "x", "y")
+    assert ET.parse(f"{tmp_path}/e.svg").getroot().tag.endswith("svg")
