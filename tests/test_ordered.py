@@ -105,3 +105,14 @@ def test_interpolation_looks_ahead_once(spark, monkeypatch):
         out = f.interpolate("x", partition_by=partition)
         assert "unboundedfollowing" not in out.df._jdf.queryExecution().toString().lower()
     assert {r["x"] - 2 * r["id"] for r in f.interpolate("x").df.where("id <= 595").collect()} == {0.0}
+
+
+@pytest.mark.parametrize("single", [1 << 20, 100])
+def test_as_of_ties_go_to_the_last_of_the_right_order(spark, monkeypatch, single):
+    """SQL's ASOF leaves open which of several rows with the same time it takes; merge_asof does not."""
+    monkeypatch.setattr(ordered, "SINGLE", single)
+    monkeypatch.setattr(ordered, "BLOCK", 64)
+    left = Frame(spark.range(300).select("id", F.col("id").alias("t")), "id")
+    right = Frame(spark.range(900).repartition(4).select((F.col("id") % 100 * 3).alias("t"), F.col("id").alias("k")), "k")
+    got = left.merge_asof(right, on="t").df.collect()
+    assert {r["id"]: r["k"] for r in got} == {i: 800 + i // 3 for i in range(300)}
